@@ -19,7 +19,7 @@ from affinity.operators.preferences import (
     build_context_preferences, build_preferences, last_transaction, rated_items, related_item,
 )
 from affinity.operators.rules import (
-    build_baskets, derive_rules, drop_redundant, match_rules, mine_top_k_rules,
+    derive_rules, drop_redundant, frequent_itemsets, match_rules, mine_top_k_rules,
     recommend_from_rules, rules_of_users,
 )
 from affinity.operators.topk import top_k_scores, unit_rows

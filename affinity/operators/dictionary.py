@@ -1,5 +1,7 @@
 """Dense term indexes and the column layout built from them."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ def feature_layout(users: DataFrame, items: DataFrame, events: DataFrame) -> Dat
     The three arguments are dictionaries; their sizes give the block offsets.
     """
     spark = users.sparkSession
-    n_users, n_items, n_events = users.count(), items.count(), events.count()
+    named = [d.select(F.lit(n).alias("n")) for n, d in enumerate((users, items, events))]
+    sizes = {r.n: r["count"] for r in reduce(DataFrame.union, named).groupBy("n").count().collect()}
+    n_users, n_items, n_events = (sizes.get(n, 0) for n in range(3))
     days = spark.range(DAYS).select(F.col("id").cast("string").alias("term"), F.col("id").alias("idx"))
     hours = spark.range(HOURS).select(F.col("id").cast("string").alias("term"), F.col("id").alias("idx"))
     parts = {

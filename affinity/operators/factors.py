@@ -95,14 +95,14 @@ def train_als(
     """M1, M2: explicit-loss ALS with its training error.
 
     ``preferences`` should be a stored table: it is read for both dictionaries and the
-    ratings. ``blocks`` defaults to 20, or to the cluster's parallelism where larger.
+    ratings. ``blocks``, the number of user and item blocks, defaults to the cluster's parallelism.
     Factors are written to the shared folder, so no request depends on cached lineage.
     """
     check_columns(preferences, ["site", "user", "item", "score"], "preferences")
     spark = preferences.sparkSession
     ensure_checkpoint_dir(spark)
     rows, site = one_site(preferences, site)
-    blocks = blocks or max(20, spark.sparkContext.defaultParallelism)
+    blocks = blocks or spark.sparkContext.defaultParallelism
     users, items = build_dictionaries(rows, ["user", "item"])
     coded = encode(encode(rows, users, "user", "ux"), items, "item", "ix")
     ratings = written(coded.select("ux", "ix", "score"), "ratings")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinity.functions.arrays import multi_hot, one_hot, one_hot_position, time_blocks
+from affinity.functions.arrays import multi_hot, one_hot, one_hot_position, time_blocks, zeros
 from affinity.operators.dictionary import block_of
 from affinity.schemas import BLOCKS, CONTEXT_COLS
 from affinity.validation import check_columns
@@ -61,16 +61,15 @@ def assemble_features(
     return single.unionByName(multi)
 
 
-def _with_rated_arrays(rows: DataFrame, layout: DataFrame, rated: DataFrame) -> DataFrame:
-    """Coded rows beside their user's sorted rated columns and values.
+def _rated_arrays(layout: DataFrame, rated: DataFrame) -> DataFrame:
+    """(site, user, rated): each user's rated columns and values, sorted by column.
 
     One array per user, as long as the number of items the user rated.
     """
-    per_user = (
+    return (
         _rated_cols(rated, layout).groupBy("site", "user")
-        .agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("_rated"))
+        .agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("rated"))
     )
-    return encode_context(rows, layout).join(per_user, ["site", "user"], "left")
 
 
 def sparse_points(
@@ -81,8 +80,8 @@ def sparse_points(
     Blocks follow each other in column order, so concatenating them keeps the indices
     sorted. The vector is read from its own JSON form, which stays in the JVM.
     """
-    coded = _with_rated_arrays(rows, layout, rated)
-    rated_cells = F.coalesce(F.col("_rated"), F.array().cast("array<struct<col:int,value:double>>"))
+    coded = encode_context(rows, layout).join(_rated_arrays(layout, rated), ["site", "user"], "left")
+    rated_cells = F.coalesce(F.col("rated"), F.array().cast("array<struct<col:int,value:double>>"))
     one = F.lit(1.0)
     related = F.when(F.col("related_col").isNotNull(), F.array("related_col")).otherwise(
         F.array().cast("array<int>"))
@@ -114,16 +113,21 @@ def dense_points(
     for block in BLOCKS:
         starts[block] = offset
         offset += widths.get(block, 0)
-    coded = _with_rated_arrays(rows, layout, rated)
+    rated_idx = F.transform(F.col("rated")["col"], lambda c: c - starts["rated"])
+    blocks = _rated_arrays(layout, rated).select(
+        "site", "user", rated_idx.alias("idx"), F.get(F.col("rated")["value"], F.lit(0)).alias("value"))
+    # One block per user, built before the join so that it is not rebuilt per row.
+    blocks = blocks.repartition("site", "user").select(
+        "site", "user", multi_hot(F.col("idx"), widths["rated"], F.col("value")).alias("rated"))
+    coded = encode_context(rows, layout).join(blocks, ["site", "user"], "left")
 
     def local(block: str) -> Column:
         return F.col(f"{block}_col") - starts[block]
 
-    rated_cols = F.transform(F.col("_rated")["col"], lambda c: c - starts["rated"])
     features = F.concat(
         one_hot(local("user"), widths["user"]),
         one_hot(local("item"), widths["item"]),
-        multi_hot(rated_cols, widths["rated"], F.get(F.col("_rated")["value"], F.lit(0))),
+        F.coalesce("rated", zeros(widths["rated"])),
         time_blocks(local("day"), local("hour")),
         one_hot(local("event"), widths["event"]),
         one_hot(local("related"), widths["related"]),
