@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from affinity.schemas import DAYS, HOURS
 
 
+UNROLLED = 16
+
+
 def zeros(n: int) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
@@ -47,10 +50,11 @@ def one_hot_position(features: Column, start: int, n: int) -> Column:
 def dot(x: Column, y: Column, size: int | None = None) -> Column:
     """scalar product.
 
-    With a known ``size`` the sum is written out term by term, which stays inside
-    whole-stage codegen; otherwise it is a fold over the zipped arrays.
+    With a known small ``size`` the sum is written out term by term, which stays inside
+    whole-stage codegen; a longer sum would outgrow what the JVM compiles, so it is a
+    fold over the zipped arrays.
     """
-    if size is not None:
+    if size is not None and size <= UNROLLED:
         terms = [F.get(x, F.lit(i)).cast("double") * F.get(y, F.lit(i)).cast("double")
                  for i in range(size)]
         return reduce(lambda a, b: a + b, terms, F.lit(0.0))

@@ -1,7 +1,6 @@
 from affinity.operators.context import (
-    CARModel, fm_params, fm_score_points, interaction_matrix, predict_context, predict_points,
-    recommend_items_in_context, recommend_users_in_context, score_context, similar_items,
-    similar_users, train_fm, with_matrices,
+    interaction_matrix, recommend_items_in_context, recommend_users_in_context, similar_items,
+    similar_users, with_matrices,
 )
 from affinity.operators.dictionary import (
     block_of, build_dictionaries, build_dictionary, decode, dense_index, distinct_terms, encode, feature_layout,
@@ -10,6 +9,10 @@ from affinity.operators.factors import (
     MFModel, by_score, factors_of, predict_one, predict_pairs, recommend_items, recommend_users,
     rmse, score_pairs, train_als,
 )
+from affinity.operators.machine import (
+    CARModel, fm_params, fm_score_points, predict_context, predict_points, score_context,
+    train_fm, train_fm_blocks,
+)
 from affinity.operators.points import (
     active_item_columns, active_items, active_user_columns, active_users, assemble_features,
     block_widths, context_subset, dense_points, encode_context, filter_columns, filter_context,

@@ -1,189 +1,16 @@
-"""Factorization machine, context scores, and similarity by factors."""
+"""Similarity by learned factors and recommendations in a context."""
 
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import replace
 
-import pyarrow as pa
-from pyspark.ml.regression import FMRegressionModel, FMRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinity.functions.arrays import dot
 from affinity.operators.dictionary import block_of
-from affinity.operators.points import SINGLE_BLOCKS, active_items, active_users
+from affinity.operators.machine import CARModel
+from affinity.operators.points import active_items, active_users
 from affinity.operators.topk import top_k_scores, unit_rows
 from affinity.validation import check_columns
 
-MAX_DRIVER_PARAMS = 50_000_000  # doubles; 400 MB
-
-
-@dataclass
-class CARModel:
-    """Parameters of a factorization machine as a table, one row per feature column.
-
-    ``params`` is (col, block, term, w, v), ``rated`` is (site, user, item, value).
-    The matrices are (col, sim_col, score), or absent until computed.
-    """
-
-    intercept: float
-    factor_size: int
-    params: DataFrame
-    rated: DataFrame
-    user_matrix: DataFrame | None = None
-    item_matrix: DataFrame | None = None
-
-    _TABLES = ("params", "rated", "user_matrix", "item_matrix")
-
-    def save(self, path: str, mode: str = "errorifexists") -> None:
-        """K6: Parquet tables, written by the executors."""
-        for name in self._TABLES:
-            table = getattr(self, name)
-            if table is not None:
-                table.write.mode(mode).parquet(f"{path}/{name}")
-        present = [n for n in self._TABLES if getattr(self, n) is not None]
-        meta = self.params.sparkSession.createDataFrame(
-            [(float(self.intercept), self.factor_size, present)],
-            "intercept double, factor_size int, tables array<string>")
-        meta.coalesce(1).write.mode(mode).parquet(f"{path}/meta")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "CARModel":
-        meta = spark.read.parquet(f"{path}/meta").first()
-        tables = {n: spark.read.parquet(f"{path}/{n}") for n in meta.tables}
-        return cls(meta.intercept, meta.factor_size, **tables)
-
-    def layout(self) -> DataFrame:
-        return self.params.select("col", "block", "term")
-
-
-def train_fm(
-    points: DataFrame, factor_size: int = 4, reg: float = 0.0, iterations: int = 100,
-    step: float = 0.1, solver: str = "adamW", seed: int = 42,
-) -> FMRegressionModel:
-    """Factorization machine over sparse (target, features) points.
-
-    Spark's trainer holds the parameters in the driver and in each task, so the width
-    is checked first.
-    """
-    width = points.select("features").first().features.size
-    if width * (factor_size + 1) > MAX_DRIVER_PARAMS:
-        raise ValueError(
-            f"{width} columns x {factor_size + 1} parameters exceed what the driver may hold; "
-            "use train_fm_blocks")
-    trainer = FMRegressor(
-        labelCol="target", featuresCol="features", factorSize=factor_size, regParam=reg,
-        maxIter=iterations, stepSize=step, solver=solver, seed=seed, miniBatchFraction=1.0)
-    return trainer.fit(points)
-
-
-def fm_params(fitted: FMRegressionModel, layout: DataFrame) -> DataFrame:
-    """The trained parameters as a table: (col, block, term, w, v)."""
-    factors = fitted.factors.toArray()
-    table = pa.table({
-        "col": pa.array(range(len(factors)), pa.int32()), "w": fitted.linear.toArray(),
-        "v": pa.array(list(factors), pa.list_(pa.float64()))})
-    params = layout.sparkSession.createDataFrame(table)
-    return layout.join(params, "col").select("col", "block", "term", "w", "v")
-
-
-def _square_sum(v: Column, size: int) -> Column:
-    return dot(v, v, size)
-
-
-def fm_score_points(
-    points: DataFrame, params: DataFrame, intercept: float, factor_size: int
-) -> DataFrame:
-    """C3 in long form: (row_id, prediction) from cells (row_id, col, val).
-
-    The pairwise term needs, per row, one sum per factor and one sum of squares; all of
-    them are partial aggregates of a single pass over the joined cells.
-    """
-    cells = points.join(params.select("col", "w", "v"), "col")
-    x, v = F.col("val"), F.col("v")
-    sums = [F.sum(F.get(v, F.lit(f)) * x).alias(f"s{f}") for f in range(factor_size)]
-    rows = cells.groupBy("row_id").agg(
-        F.sum(F.col("w") * x).alias("linear"),
-        F.sum(_square_sum(v, factor_size) * x * x).alias("squares"), *sums)
-    pairs = reduce(
-        lambda a, b: a + b, [F.col(f"s{f}") * F.col(f"s{f}") for f in range(factor_size)])
-    return rows.select(
-        "row_id",
-        (F.lit(intercept) + F.col("linear") + (pairs - F.col("squares")) / 2).alias("prediction"))
-
-
-def predict_points(fitted: FMRegressionModel, points: DataFrame) -> DataFrame:
-    """C3 on vectors: (row_id, features, target), target being the prediction."""
-    return fitted.transform(points).select("row_id", "features", F.col("prediction").alias("target"))
-
-
-def _block_params(params: DataFrame, block: str, size: int) -> DataFrame:
-    """(term, w, v, q) of one block, q the squared length of v."""
-    return params.filter(F.col("block") == block).select(
-        "term", "w", "v", _square_sum(F.col("v"), size).alias("q"))
-
-
-def user_states(model: CARModel) -> DataFrame:
-    """Per (site, user): the user's own parameters plus the sum over the rated items.
-
-    The rated block is the same on all rows of a user, so its share of the score is
-    summed once per user instead of once per row and rated item.
-    """
-    k = model.factor_size
-    rated = model.rated.join(
-        _block_params(model.params, "rated", k).withColumnRenamed("term", "item"), "item")
-    x = F.col("value")
-    sums = rated.groupBy("site", "user").agg(
-        F.sum(F.col("w") * x).alias("rw"), F.sum(F.col("q") * x * x).alias("rq"),
-        *[F.sum(F.get("v", F.lit(f)) * x).alias(f"r{f}") for f in range(k)])
-    own = _block_params(model.params, "user", k).withColumnRenamed("term", "user")
-    joined = sums.join(own, "user")
-    v = F.array(*[F.get("v", F.lit(f)) + F.col(f"r{f}") for f in range(k)])
-    return joined.select(
-        "site", "user", (F.col("w") + F.col("rw")).alias("w"), v.alias("v"),
-        (F.col("q") + F.col("rq")).alias("q"))
-
-
-def score_context(model: CARModel, rows: DataFrame, out: str = "score") -> DataFrame:
-    """FM score of rows (site, user, item, event, dayOfweek, hourOfday, related), beside them.
-
-    Each block's parameters are joined on the plain id column and the score is one
-    expression over the row, so no feature vector is built and no row is regrouped.
-    A null related item adds nothing; unknown terms drop the row.
-    """
-    k = model.factor_size
-    states = user_states(model).select(
-        F.col("site").alias("_site"), F.col("user").alias("_user"),
-        F.struct("w", "v", "q").alias("_p_user"))
-    joined = rows.join(states, (F.col("site") == F.col("_site")) & (F.col("user") == F.col("_user")))
-    parts = ["_p_user"]
-    for block, source in SINGLE_BLOCKS.items():
-        if block == "user":
-            continue
-        part = f"_p_{block}"
-        table = _block_params(model.params, block, k).select(
-            F.col("term").alias("_term"), F.struct("w", "v", "q").alias(part))
-        how = "left" if block == "related" else "inner"
-        joined = joined.join(table, F.col(source).cast("string") == F.col("_term"), how).drop("_term")
-        parts.append(part)
-    joined = joined.filter("related is null or _p_related is not null")
-
-    def total(field) -> Column:
-        return reduce(lambda a, b: a + b, [F.coalesce(field(F.col(p)), F.lit(0.0)) for p in parts])
-
-    linear, squares = total(lambda p: p["w"]), total(lambda p: p["q"])
-    sums = [total(lambda p, f=f: F.get(p["v"], F.lit(f))) for f in range(k)]
-    score = F.lit(model.intercept) + linear + (
-        reduce(lambda a, b: a + b, [s * s for s in sums]) - squares) / 2
-    return joined.select(*[F.col(c) for c in rows.columns], score.alias(out))
-
-
-def predict_context(model: CARModel, requests: DataFrame) -> DataFrame:
-    """C4: context preferences with their predicted score. All six request parts are needed."""
-    needed = ["user", "item", "event", "dayOfweek", "hourOfday", "related"]
-    check_columns(requests, ["site", *needed], "requests")
-    complete = requests.dropna(subset=needed)
-    return score_context(model, complete.drop("score"))
-
 
 def interaction_matrix(params: DataFrame, block: str, top_n: int, block_rows: int = 16384) -> DataFrame:
     """(col, sim_col, score), the ``top_n`` most similar columns of each column.

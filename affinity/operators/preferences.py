@@ -89,9 +89,11 @@ def rated_items(preferences: DataFrame, value: str = "uniform") -> DataFrame:
 def last_transaction(transactions: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """The distinct items of each user's latest transaction, one row per item.
 
-    ``transactions`` is (site, user, group, ts, item). Latest is by (ts, group). The
-    latest header per user is one partial aggregate; ``headers`` (site, user, group, ts),
-    where there is such a table, spares it the item rows. Items stay rows, not arrays.
+    ``transactions`` is (site, user, group, ts, item). Latest is by (ts, group), one
+    partial aggregate per user. Where transactions have a table of their own, give it
+    as ``headers`` (site, user, group, ts), ``group`` naming a transaction, and only
+    (group, item) as ``transactions``: the item rows then move once, to meet the latest
+    headers. Items stay rows, not arrays.
     """
     source = transactions if headers is None else headers
     latest = (
@@ -99,4 +101,8 @@ def last_transaction(transactions: DataFrame, headers: DataFrame | None = None)
         .select("site", "user", F.col("_last.ts").alias("ts"), F.col("_last.group").alias("group"))
     )
     keys = ["site", "user", "group", "ts"]
-    return transactions.join(latest, keys).select(*keys, "item").distinct()
+    if headers is None:
+        found = transactions.join(latest, keys)
+    else:
+        found = transactions.select("group", "item").join(latest, "group")
+    return found.select(*keys, "item").distinct()

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from affinity import functions as fn
 from affinity import operators as op
-from affinity.operators.context import CARModel
 from affinity.operators.dictionary import (
     build_dictionaries, build_dictionary, feature_layout,
 )
+from affinity.operators.machine import CARModel
 from affinity.plans import pipelines, tables
 from affinity.schemas import PREF
 from affinity.session import shared_dir, tune, written
@@ -55,7 +55,7 @@ def rated_items(spark, sf):
 
 
 def last_transaction(spark, sf):
-    return op.last_transaction(tables.part_transactions(spark, sf), tables.headers(spark, sf))
+    return op.last_transaction(tables.part_items(spark, sf), tables.headers(spark, sf))
 
 
 # -- dictionaries and layout -------------------------------------------------------
@@ -98,7 +98,7 @@ def encode_decode_roundtrip(spark, sf):
 def _context_rows(spark, sf):
     """Context preferences, their layout and rated sets."""
     rows = written(op.build_context_preferences(tables.events(spark, sf)), "context")
-    return rows, written(_layout(rows), "layout"), op.rated_items(rows)
+    return rows, written(_layout(rows), "layout", by="block"), op.rated_items(rows)
 
 
 def _dense(spark, sf):
@@ -346,7 +346,7 @@ def top_k_rules(spark, sf):
 
 
 def _matched(spark, sf):
-    last = op.last_transaction(tables.brand_transactions(spark, sf))
+    last = op.last_transaction(tables.brand_items(spark, sf), tables.headers(spark, sf))
     return op.match_rules(_rules(spark, sf), last)
 
 
@@ -395,7 +395,7 @@ def _stand_in(spark, sf):
     emb = tables.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("int").alias("col"), (F.col("label") / 10.0).alias("w"),
         F.slice("embedding", 1, FACTORS).cast("array<double>").alias("v"))
-    params = written(lay.join(emb, "col").select("col", "block", "term", "w", "v"), "params")
+    params = written(lay.join(emb, "col").select("col", "block", "term", "w", "v"), "params", by="block")
     return rows, CARModel(0.5, FACTORS, params, rated)
 
 
@@ -458,6 +458,17 @@ def fm_train_predict(spark, sf):
         "event_id", "site", "user", "item", "event", "dayOfweek", "hourOfday", "related", "score")
 
 
+def fm_train_blocks(spark, sf):
+    """C2 without parameters in the driver: error of the fit beside that of the mean."""
+    rows, lay, rated = _context_rows(spark, sf)
+    model = op.train_fm_blocks(rows, lay, written(rated, "rated"), iterations=2)
+    scored = op.score_context(model, rows, "prediction")
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sqrt(F.avg(F.pow(F.col("score") - F.col("prediction"), 2))).alias("rmse"),
+        F.stddev_pop("score").alias("mean_rmse"))
+
+
 # -- tracking ----------------------------------------------------------------------
 
 def _stored(spark, path):
@@ -496,7 +507,7 @@ QUERIES = (
     als_training_error, top_k_rules, match_rules, rules_of_users, rule_recommendations,
     user_rules_json, preferences_json, preferences_store_roundtrip, fm_score_points,
     fm_score_context, cosine_similar, car_recommend_items, car_recommend_users,
-    similar_users, similar_items, fm_train_predict, track_batch, track_stream,
+    similar_users, similar_items, fm_train_predict, fm_train_blocks, track_batch, track_stream,
 )
 
 

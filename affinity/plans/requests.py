@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame
 
 from affinity.operators.context import (
-    CARModel, predict_context, recommend_items_in_context, recommend_users_in_context,
-    similar_items, similar_users,
+    recommend_items_in_context, recommend_users_in_context, similar_items, similar_users,
 )
 from affinity.operators.factors import MFModel, predict_pairs, recommend_items, recommend_users
+from affinity.operators.machine import CARModel, predict_context
 from affinity.operators.rules import recommend_from_rules, rules_of_users
 from affinity.plans.pipelines import als_pipeline, asr_pipeline, car_pipeline
 from affinity.validation import check_algorithm, check_build

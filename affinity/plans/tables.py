@@ -34,11 +34,10 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("group"), F.col("o_orderdate").alias("ts"))
 
 
-def part_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ordered part: (site, user, group, ts, item)."""
-    lines = table(spark, sf_dir, "lineitem").select(
+def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per ordered part: (group, item)."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("group"), F.col("l_partkey").cast("int").alias("item"))
-    return lines.join(headers(spark, sf_dir), "group").select("site", "user", "group", "ts", "item")
 
 
 def brand_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,7 @@ def brand_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``part_transactions`` with brands as items."""
+    """One row per ordered brand with its header: (site, user, group, ts, item)."""
     return brand_items(spark, sf_dir).join(headers(spark, sf_dir), "group").select(
         "site", "user", "group", "ts", "item")
 

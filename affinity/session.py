@@ -33,12 +33,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The table outlives lost executors, fixes nondeterministic columns once, and
-    gives later joins a real size to choose their strategy by.
+    gives later joins a real size to choose their strategy by. With ``by`` each value
+    of that column has its own folder, so a filter on it reads, and sizes, only that.
     """
     path = f"{shared_dir(df.sparkSession)}/affinity/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -5,6 +5,7 @@ from affinity.operators import (
     CARModel, assemble_features, block_widths, build_context_preferences, fm_params,
     fm_score_points, predict_context, predict_points, recommend_items_in_context,
     recommend_users_in_context, score_context, similar_items, similar_users, sparse_points, train_fm,
+    train_fm_blocks,
 )
 from affinity.plans import car_pipeline, tables
 from affinity.plans.pipelines import car_features
@@ -78,3 +79,46 @@ def test_similar_lists(built, spark):
     assert len(scores) == 4 and scores == sorted(scores, reverse=True)
     assert "3" not in [e.name for e in got[0]["items"]]
     assert similar_items(model.params, spark.createDataFrame([(42,)], "item int"), 2).count() == 1
+
+
+def error(model, rows):
+    return score_context(model, rows, "p").agg(F.sqrt(F.avg((F.col("score") - F.col("p")) ** 2))).first()[0]
+
+
+def test_block_training_keeps_improving(fitted):
+    rows, layout, rated = fitted[:3]
+    mean = rows.agg(F.stddev_pop("score")).first()[0]
+    errors = [error(train_fm_blocks(rows, layout, rated, 3, reg=0.01, iterations=n), rows) for n in (1, 3)]
+    assert errors[1] < errors[0] < mean
+
+
+def test_block_solutions_are_ridge_solutions(fitted):
+    """A solved block cannot be improved: the gradient of its own objective is zero."""
+    import numpy as np
+
+    from affinity.operators.machine import _solve_block, block_tables, context_sums
+
+    rows, layout, rated, _, _, model = fitted
+    tables = block_tables(model.params)
+    solved = {r.term: np.array([r.w, *r.v]) for r in _solve_block(
+        tables, rated, rows, model.intercept, 3, 0.05, "hour").collect()}
+    sums = {}
+    for r in context_sums(tables, rated, rows, 3, skip="hour").collect():
+        x = np.array([1.0, *r._v])
+        rest = r.score - (model.intercept + r._w + (np.dot(r._v, r._v) - r._q) / 2)
+        a, b, n = sums.get(str(r.hourOfday), (0, 0, 0))
+        sums[str(r.hourOfday)] = (a + np.outer(x, x), b + x * rest, n + 1)
+    for hour, (a, b, n) in sums.items():
+        assert np.allclose((a + 0.05 * n * np.eye(4)) @ solved[hour], b, atol=1e-6)
+    assert len(solved) == 24
+
+
+def test_wide_layouts_go_to_the_block_trainer(fitted, monkeypatch):
+    from affinity.operators import machine
+    from affinity.plans.pipelines import train_car
+
+    rows, layout, rated, points = fitted[:4]
+    monkeypatch.setattr(machine, "MAX_DRIVER_PARAMS", 10)
+    with pytest.raises(ValueError):
+        train_fm(points, factor_size=2)
+    assert train_car(rows, layout, rated, 2, iterations=1).factor_size == 2

@@ -69,7 +69,7 @@ def test_last_transaction_breaks_equal_dates_by_group(spark):
     want = [("a", 2, 8), ("b", 4, 6)]
     assert rows(last_transaction(tx), "user", "group", "item") == want
     heads = tx.select("site", "user", "group", "ts").distinct()
-    assert rows(last_transaction(tx, heads), "user", "group", "item") == want
+    assert rows(last_transaction(tx.select("group", "item"), heads), "user", "group", "item") == want
 
 
 def test_dictionary_is_dense_in_term_order(spark):
