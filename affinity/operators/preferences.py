@@ -93,7 +93,8 @@ def last_transaction(transactions: DataFrame, headers: DataFrame | None = None)
     partial aggregate per user. Where transactions have a table of their own, give it
     as ``headers`` (site, user, group, ts), ``group`` naming a transaction, and only
     (group, item) as ``transactions``: the item rows then move once, to meet the latest
-    headers. Items stay rows, not arrays.
+    headers, and a user whose latest header has no item gets none. Items stay rows, not
+    arrays.
     """
     source = transactions if headers is None else headers
     latest = (

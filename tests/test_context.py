@@ -96,14 +96,15 @@ def test_block_solutions_are_ridge_solutions(fitted):
     """A solved block cannot be improved: the gradient of its own objective is zero."""
     import numpy as np
 
-    from affinity.operators.machine import _solve_block, block_tables, context_sums
+    from affinity.operators.machine import _solve_block, block_tables, context_sums, rated_sums
 
     rows, layout, rated, _, _, model = fitted
     tables = block_tables(model.params)
+    per_user = rated_sums(tables, rated, 3)
     solved = {r.term: np.array([r.w, *r.v]) for r in _solve_block(
-        tables, rated, rows, model.intercept, 3, 0.05, "hour").collect()}
+        tables, per_user, rows, model.intercept, 3, 0.05, "hour").collect()}
     sums = {}
-    for r in context_sums(tables, rated, rows, 3, skip="hour").collect():
+    for r in context_sums(tables, per_user, rows, 3, skip="hour").collect():
         x = np.array([1.0, *r._v])
         rest = r.score - (model.intercept + r._w + (np.dot(r._v, r._v) - r._q) / 2)
         a, b, n = sums.get(str(r.hourOfday), (0, 0, 0))
