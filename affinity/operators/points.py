@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from affinity.functions.arrays import multi_hot, one_hot, one_hot_position, time_blocks, zeros
 from affinity.operators.dictionary import block_of
+from affinity.operators.skew import spread_join
 from affinity.schemas import BLOCKS, CONTEXT_COLS
 from affinity.validation import check_columns
 
@@ -48,14 +49,19 @@ def _rated_cols(rated: DataFrame, layout: DataFrame) -> DataFrame:
 def assemble_features(
     rows: DataFrame, layout: DataFrame, rated: DataFrame, row_id: str = "event_id"
 ) -> DataFrame:
-    """F4 in long form: (row_id, col, val), only the cells that are not zero."""
+    """F4 in long form: (row_id, col, val), only the cells that are not zero.
+
+    Every row repeats its user's rated cells, as the feature vector does; scoring by
+    ``score_context`` sums them once per user instead.
+    """
     coded = encode_context(rows, layout)
     cells = F.array(*[
         F.struct(F.col(f"{b}_col").alias("col"), F.lit(1.0).alias("val")) for b in SINGLE_BLOCKS])
     single = coded.select(F.col(row_id).alias("row_id"), F.inline(cells)).filter("col is not null")
     multi = (
-        coded.select("site", "user", F.col(row_id).alias("row_id"))
-        .join(_rated_cols(rated, layout), ["site", "user"])
+        spread_join(
+            coded.select("site", "user", F.col(row_id).alias("row_id")),
+            _rated_cols(rated, layout), ["site", "user"])
         .select("row_id", "col", F.col("value").alias("val"))
     )
     return single.unionByName(multi)
@@ -80,7 +86,8 @@ def sparse_points(
     Blocks follow each other in column order, so concatenating them keeps the indices
     sorted. The vector is read from its own JSON form, which stays in the JVM.
     """
-    coded = encode_context(rows, layout).join(_rated_arrays(layout, rated), ["site", "user"], "left")
+    coded = spread_join(
+        encode_context(rows, layout), _rated_arrays(layout, rated), ["site", "user"], "left")
     rated_cells = F.coalesce(F.col("rated"), F.array().cast("array<struct<col:int,value:double>>"))
     one = F.lit(1.0)
     related = F.when(F.col("related_col").isNotNull(), F.array("related_col")).otherwise(
@@ -119,7 +126,7 @@ def dense_points(
     # One block per user, built before the join so that it is not rebuilt per row.
     blocks = blocks.repartition("site", "user").select(
         "site", "user", multi_hot(F.col("idx"), widths["rated"], F.col("value")).alias("rated"))
-    coded = encode_context(rows, layout).join(blocks, ["site", "user"], "left")
+    coded = spread_join(encode_context(rows, layout), blocks, ["site", "user"], "left")
 
     def local(block: str) -> Column:
         return F.col(f"{block}_col") - starts[block]
@@ -201,13 +208,13 @@ def _active(rows: DataFrame, requests: DataFrame, given: str, found: str) -> Dat
     if not conditions:
         raise ValueError(f"requests need at least one of {', '.join(CONTEXT_COLS)}")
     asked = requests.filter(F.coalesce(*[F.col(c).cast("string") for c in conditions]).isNotNull())
-    matches = [F.col(f"q.{c}").isNull() | (F.col(f"q.{c}") == F.col(f"r.{c}")) for c in conditions]
-    on = reduce(
-        lambda a, b: a & b, matches,
-        (F.col("q.site") == F.col("r.site")) & (F.col(f"q.{given}") == F.col(f"r.{given}")))
+    matches = [F.col("_asked")[c].isNull() | (F.col("_asked")[c] == F.col(c)) for c in conditions]
+    wanted = asked.select(
+        "request_id", "site", given, F.struct(*conditions).alias("_asked"))
+    met = spread_join(rows.select("site", given, found, *conditions), wanted, ["site", given])
     return (
-        rows.alias("r").join(asked.alias("q"), on)
-        .select("q.request_id", "q.site", F.col(f"r.{found}").alias(found)).distinct()
+        met.filter(reduce(lambda a, b: a & b, matches))
+        .select("request_id", "site", found).distinct()
     )
 
 

@@ -5,7 +5,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.operators.skew import lag_in_groups
+from affinity.operators.skew import lag_in_groups, spread_join
 
 # Weight of one event by its type; other types count nothing.
 DEFAULT_WEIGHTS = {"view": 1, "click": 2, "signup": 3, "purchase": 5}
@@ -43,7 +43,7 @@ def build_preferences(
         .agg(F.sum("_weight").alias("raw"))
     )
     top = raw.groupBy("site", "user").agg(F.max("raw").alias("top"))
-    return raw.join(top, ["site", "user"]).select(
+    return spread_join(raw, top, ["site", "user"]).select(
         "site", "user", "item", (F.lit(TOP_SCORE) * F.col("raw") / F.col("top")).alias("score"))
 
 
@@ -82,7 +82,7 @@ def rated_items(preferences: DataFrame, value: str = "uniform") -> DataFrame:
     if value == "binary":
         return pairs.withColumn("value", F.lit(1.0))
     n = pairs.groupBy("site", "user").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(n, ["site", "user"]).select(
+    return spread_join(pairs, n, ["site", "user"]).select(
         "site", "user", "item", (F.lit(1.0) / F.col("n")).alias("value"))
 
 
@@ -103,7 +103,7 @@ def last_transaction(transactions: DataFrame, headers: DataFrame | None = None)
     )
     keys = ["site", "user", "group", "ts"]
     if headers is None:
-        found = transactions.join(latest, keys)
+        found = spread_join(transactions, latest, keys)
     else:
-        found = transactions.select("group", "item").join(latest, "group")
+        found = spread_join(transactions.select("group", "item"), latest, ["group"])
     return found.select(*keys, "item").distinct()

@@ -1,4 +1,4 @@
-"""Windows that stay exact and balanced when one group holds much of the table."""
+"""Joins and windows that stay exact and balanced when one group holds much of the table."""
 
 from functools import reduce
 
@@ -11,6 +11,19 @@ from affinity.session import written
 _GRID = 32
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which adaptive execution can split a hot key.
+
+    It splits only partitions that were exchanged for the join itself. A side already
+    partitioned by the keys, as after an aggregate, would be joined as it lies, hot
+    partition and all. The hash of the keys as one more equal key makes both sides move.
+    """
+    place = F.xxhash64(*keys)
+    joined = left.withColumn("_place", place).join(
+        right.withColumn("_place", place), [*keys, "_place"], how)
+    return joined.drop("_place")
+
+
 def _passed(bounds: Column, value: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b <= value))
 

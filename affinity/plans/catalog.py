@@ -1,7 +1,5 @@
 """Every query by name, as a function of (spark, folder of the given tables)."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from affinity.operators.dictionary import (
 from affinity.operators.machine import CARModel
 from affinity.plans import pipelines, tables
 from affinity.schemas import PREF
-from affinity.session import shared_dir, tune, written
+from affinity.session import scratch_path, tune, written
 from affinity.sources import (
     read_points, read_preferences, write_points, write_preferences,
 )
@@ -24,7 +22,7 @@ RULES = {"k": 20, "min_confidence": 0.15, "max_size": 3}
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/affinity/run-{uuid.uuid4().hex}"
+    return scratch_path(spark, "run")
 
 
 # -- preferences -------------------------------------------------------------------

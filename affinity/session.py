@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/affinity/{app}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Give iterative jobs a reliable checkpoint folder unless the session has one."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,8 +45,9 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     The table outlives lost executors, fixes nondeterministic columns once, and
     gives later joins a real size to choose their strategy by. With ``by`` each value
     of that column has its own folder, so a filter on it reads, and sizes, only that.
+    An application's tables share one folder, to be removed when it has ended.
     """
-    path = f"{shared_dir(df.sparkSession)}/affinity/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     if by is None:
         df.write.parquet(path)
     else:

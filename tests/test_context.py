@@ -123,3 +123,12 @@ def test_wide_layouts_go_to_the_block_trainer(fitted, monkeypatch):
     with pytest.raises(ValueError):
         train_fm(points, factor_size=2)
     assert train_car(rows, layout, rated, 2, iterations=1).factor_size == 2
+
+
+def test_vector_cells(fitted):
+    from affinity.plans.pipelines import vector_cells
+
+    rows, layout, rated = fitted[:3]
+    cells = assemble_features(rows, layout, rated).join(
+        layout.filter("block = 'rated'").select("col"), "col", "left_semi")
+    assert vector_cells(rows, rated) == cells.count()
