@@ -9,39 +9,48 @@ from affinity.operators.dictionary import block_of
 from affinity.operators.machine import CARModel
 from affinity.operators.points import active_items, active_users
 from affinity.operators.topk import top_k_scores, unit_rows
+from affinity.session import written
 from affinity.validation import check_columns
 
 
-def interaction_matrix(params: DataFrame, block: str, top_n: int, block_rows: int = 16384) -> DataFrame:
+def interaction_matrix(
+    params: DataFrame, block: str, top_n: int, cols: DataFrame | None = None,
+    block_rows: int = 16384,
+) -> DataFrame:
     """(col, sim_col, score), the ``top_n`` most similar columns of each column.
 
     Similarity is the cosine of the factor rows within the block, without self pairs.
+    ``cols`` (col) restricts the work to the columns asked about.
     """
     vectors = unit_rows(
         params.filter(F.col("block") == block).select(F.col("col").alias("id"), F.col("v").alias("features")))
-    return _named(top_k_scores(vectors, vectors, top_n, exclude_self=True, block_rows=block_rows))
-
+    asked = vectors
+    if cols is not None:
+        asked = vectors.join(cols.select(F.col("col").alias("id")).distinct(), "id", "left_semi")
+    best = top_k_scores(asked, vectors, top_n, exclude_self=True, block_rows=block_rows)
+    return best.select(F.col("id").alias("col"), F.col("other").alias("sim_col"), "score")
 
-def _named(scores: DataFrame) -> DataFrame:
-    return scores.select(F.col("id").alias("col"), F.col("other").alias("sim_col"), "score")
 
+def with_matrices(model: CARModel, top_n: int, blocks: tuple[str, ...] = ("user", "item")) -> CARModel:
+    """The model with the interaction matrices of the named blocks.
 
-def with_matrices(model: CARModel, top_n: int) -> CARModel:
-    """The model with both interaction matrices."""
-    return replace(
-        model,
-        user_matrix=interaction_matrix(model.params, "user", top_n),
-        item_matrix=interaction_matrix(model.params, "item", top_n))
+    A full matrix compares every pair of a block's columns. Leave out a block too large
+    for that: recommendations then compare only the columns of their requests.
+    """
+    tables = {f"{b}_matrix": interaction_matrix(model.params, b, top_n) for b in blocks}
+    return replace(model, **tables)
 
 
 def _recommend(
-    active: DataFrame, matrix: DataFrame, layout: DataFrame, topic: str, total: int, dedupe: bool
+    active: DataFrame, model: CARModel, topic: str, total: int, top_n: int, dedupe: bool
 ) -> DataFrame:
-    terms = block_of(layout, topic)
-    scored = (
-        active.join(terms.withColumnRenamed("term", topic), topic)
-        .join(matrix, "col").select("request_id", "site", "sim_col", "score")
-    )
+    terms = block_of(model.params, topic)
+    coded = active.join(terms.withColumnRenamed("term", topic), topic).select("request_id", "site", "col")
+    matrix = model.item_matrix if topic == "item" else model.user_matrix
+    if matrix is None:
+        coded = written(coded, "active")
+        matrix = interaction_matrix(model.params, topic, top_n, coded)
+    scored = coded.join(matrix, "col").select("request_id", "site", "sim_col", "score")
     if dedupe:
         scored = scored.groupBy("request_id", "site", "sim_col").agg(F.max("score").alias("score"))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "sim_col")
@@ -51,24 +60,25 @@ def _recommend(
 
 
 def recommend_items_in_context(
-    rows: DataFrame, requests: DataFrame, item_matrix: DataFrame, layout: DataFrame,
-    total: int, dedupe: bool = False,
+    rows: DataFrame, requests: DataFrame, model: CARModel, total: int, top_n: int = 10,
+    dedupe: bool = False,
 ) -> DataFrame:
     """(request_id, site, item, score), items similar to the user's active ones.
 
     The ``total`` best over all active items; an item similar to several of them
     appears once per such item unless ``dedupe`` keeps its best score. Each task cuts
-    a request's candidates to ``total`` before the shuffle.
+    a request's candidates to ``total`` before the shuffle. A model without the matrix
+    gets the ``top_n`` similar columns of the active ones only.
     """
-    return _recommend(active_items(rows, requests), item_matrix, layout, "item", total, dedupe)
+    return _recommend(active_items(rows, requests), model, "item", total, top_n, dedupe)
 
 
 def recommend_users_in_context(
-    rows: DataFrame, requests: DataFrame, user_matrix: DataFrame, layout: DataFrame,
-    total: int, dedupe: bool = False,
+    rows: DataFrame, requests: DataFrame, model: CARModel, total: int, top_n: int = 10,
+    dedupe: bool = False,
 ) -> DataFrame:
     """(request_id, site, user, score), users similar to the item's active ones."""
-    return _recommend(active_users(rows, requests), user_matrix, layout, "user", total, dedupe)
+    return _recommend(active_users(rows, requests), model, "user", total, top_n, dedupe)
 
 
 def _similar(params: DataFrame, block: str, names: DataFrame, top_n: int) -> DataFrame:

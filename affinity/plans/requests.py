@@ -7,8 +7,9 @@ from affinity.operators.context import (
 )
 from affinity.operators.factors import MFModel, predict_pairs, recommend_items, recommend_users
 from affinity.operators.machine import CARModel, predict_context
-from affinity.operators.rules import recommend_from_rules, rules_of_users
-from affinity.plans.pipelines import als_pipeline, asr_pipeline, car_pipeline
+from affinity.plans.pipelines import (
+    als_pipeline, asr_pipeline, car_pipeline, recommend_by_rules,
+)
 from affinity.validation import check_algorithm, check_build
 
 
@@ -42,8 +43,8 @@ def recommend(
 ) -> DataFrame:
     """Best items for users (``topic="item"``) or users for items (``topic="user"``).
 
-    ``model`` is an MFModel (ALS), matched user rules (ASR) or a CARModel (CAR), the
-    last with the context preferences ``rows`` that active items are read from.
+    ``model`` is an MFModel (ALS), mined rules (ASR, with the transactions as ``rows``)
+    or a CARModel (CAR, with the context preferences as ``rows``).
     """
     check_algorithm(algorithm)
     if topic not in ("item", "user"):
@@ -53,10 +54,10 @@ def recommend(
     if algorithm == "ASR":
         if topic != "item":
             _refuse("recommend user", algorithm)
-        return recommend_from_rules(rules_of_users(model, requests), total)
+        return recommend_by_rules(model, rows, requests, total)
     if topic == "item":
-        return recommend_items_in_context(rows, requests, model.item_matrix, model.layout(), total)
-    return recommend_users_in_context(rows, requests, model.user_matrix, model.layout(), total)
+        return recommend_items_in_context(rows, requests, model, total)
+    return recommend_users_in_context(rows, requests, model, total)
 
 
 def similar(

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,13 +64,15 @@ def test_recommendations_in_context(built, spark):
     rows = spark.read.parquet(f"{path}/1")
     asked = rows.select("site", "user").distinct().select(
         F.col("user").alias("request_id"), "site", "user", F.lit("view").alias("event"))
-    got = recommend_items_in_context(rows, asked, model.item_matrix, model.layout(), 7)
+    got = recommend_items_in_context(rows, asked, model, 7)
     assert got.groupBy("request_id").count().filter("count > 7").isEmpty() and not got.isEmpty()
-    one = recommend_items_in_context(rows, asked, model.item_matrix, model.layout(), 7, dedupe=True)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    bare = replace(model, item_matrix=None)
+    assert key(recommend_items_in_context(rows, asked, bare, 7, top_n=5)) == key(got)
+    one = recommend_items_in_context(rows, asked, model, 7, dedupe=True)
     assert one.groupBy("request_id", "item").count().filter("count > 1").isEmpty()
     for_items = asked.withColumn("item", F.lit("42")).drop("user")
-    assert recommend_users_in_context(rows, for_items, model.user_matrix, model.layout(), 2).filter(
-        "user is null").isEmpty()
+    assert recommend_users_in_context(rows, for_items, model, 2).filter("user is null").isEmpty()
 
 
 def test_similar_lists(built, spark):
@@ -88,7 +92,7 @@ def error(model, rows):
 def test_block_training_keeps_improving(fitted):
     rows, layout, rated = fitted[:3]
     mean = rows.agg(F.stddev_pop("score")).first()[0]
-    errors = [error(train_fm_blocks(rows, layout, rated, 3, reg=0.01, iterations=n), rows) for n in (1, 3)]
+    errors = [error(train_fm_blocks(rows, layout, rated, 3, reg=0.01, iterations=n), rows) for n in (1, 2)]
     assert errors[1] < errors[0] < mean
 
 

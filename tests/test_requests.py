@@ -36,6 +36,13 @@ def test_als_from_events(spark, sf, tmp_path):
     assert recommend("ALS", model, items, 2, topic="user").count() == 2
 
 
-def test_rules_from_transactions(spark, sf):
-    got = build("ASR", tables.brand_transactions(spark, sf), k=10, min_confidence=0.1, total=2, max_size=2)
-    assert got.columns == ["site", "user", "item", "score"] and not got.isEmpty()
+def test_rules_from_transactions(spark, sf, tmp_path):
+    tx = tables.brand_transactions(spark, sf)
+    rules = build("ASR", tx, path=str(tmp_path / "r"), k=10, min_confidence=0.1, max_size=2)
+    assert rules.count() == 10
+    asked = tx.select("site", "user").distinct()
+    every = recommend("ASR", rules, asked, 2, rows=tx)
+    some = recommend("ASR", rules, asked.filter("user < '5'"), 2, rows=tx)
+    assert every.columns == ["site", "user", "item", "score"]
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(some) == key(every.filter("user < '5'")) != []

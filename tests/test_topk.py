@@ -32,11 +32,11 @@ def found(df):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [7, 16384])
+@pytest.mark.parametrize("n, block_rows", [(60, 7), (60, 16384), (150, 7)])
 @pytest.mark.parametrize("exclude_self", [False, True])
-def test_against_brute_force(spark, block_rows, exclude_self):
+def test_against_brute_force(spark, n, block_rows, exclude_self):
     rng = np.random.default_rng(5)
-    vectors = rng.normal(size=(60, 6))
+    vectors = rng.normal(size=(n, 6))
     vectors[20:40] = vectors[0]  # a third are copies: ties go to the smaller id
     df = frame(spark, vectors)
     got = found(top_k_scores(df, df, 5, exclude_self, block_rows))
@@ -72,7 +72,7 @@ def test_matrix_is_symmetric_and_bounded(spark):
     params = frame(spark, v).select(
         F.col("id").alias("col"), F.lit("user").alias("block"), F.col("id").cast("string").alias("term"),
         F.col("features").alias("v"))
-    m = {(r.col, r.sim_col): r.score for r in interaction_matrix(params, "user", 14, 6).collect()}
+    m = {(r.col, r.sim_col): r.score for r in interaction_matrix(params, "user", 14, block_rows=6).collect()}
     assert len(m) == 14 * 13  # the zero row is similar to nothing
     for (a, b), s in m.items():
         assert a != b and abs(s) <= 1 + 1e-12
