@@ -108,7 +108,7 @@ def test_block_solutions_are_ridge_solutions(fitted):
     solved = {r.term: np.array([r.w, *r.v]) for r in _solve_block(
         tables, per_user, rows, model.intercept, 3, 0.05, "hour").collect()}
     sums = {}
-    for r in context_sums(tables, per_user, rows, 3, skip="hour").collect():
+    for r in context_sums(tables, per_user, rows, skip="hour").collect():
         x = np.array([1.0, *r._v])
         rest = r.score - (model.intercept + r._w + (np.dot(r._v, r._v) - r._q) / 2)
         a, b, n = sums.get(str(r.hourOfday), (0, 0, 0))
