@@ -4,7 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from public_tokenizers import path as tokenizer_path
+
 from affinity.llm.minhash import near_duplicates
+from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.text import read_table
 
 
@@ -12,9 +15,15 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    return digests(encode_documents(read_table(spark, sf_dir, "documents"), model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": op2_minhash,
+        "op5_pieces": op5_pieces,
     }
 
 
