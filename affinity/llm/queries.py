@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from public_tokenizers import path as tokenizer_path
 
+from affinity.llm.licenses import scan_licenses
 from affinity.llm.minhash import near_duplicates
 from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.text import read_table
@@ -20,10 +21,15 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(read_table(spark, sf_dir, "documents"), model))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": op2_minhash,
         "op5_pieces": op5_pieces,
+        "op8_licenses": op8_licenses,
     }
 
 
