@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from public_tokenizers import path as tokenizer_path
 
+from affinity.llm.decontaminate import contaminated
 from affinity.llm.licenses import scan_licenses
 from affinity.llm.minhash import near_duplicates
 from affinity.llm.pieces import digests, encode_documents
@@ -16,6 +17,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     return digests(encode_documents(read_table(spark, sf_dir, "documents"), model))
@@ -28,6 +33,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": op2_minhash,
+        "op3_spaced_seeds": op3_spaced_seeds,
         "op5_pieces": op5_pieces,
         "op8_licenses": op8_licenses,
     }
