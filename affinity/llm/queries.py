@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
 from affinity.llm.decontaminate import contaminated
+from affinity.llm.forest import nearest
 from affinity.llm.licenses import scan_licenses
 from affinity.llm.minhash import near_duplicates
 from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.text import read_table
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_prefix_forest": op1_prefix_forest,
         "op2_minhash": op2_minhash,
         "op3_spaced_seeds": op3_spaced_seeds,
         "op5_pieces": op5_pieces,
