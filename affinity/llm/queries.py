@@ -9,6 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from affinity.llm.decontaminate import contaminated
 from affinity.llm.forest import nearest
 from affinity.llm.licenses import scan_licenses
+from affinity.llm.lm import score_documents
 from affinity.llm.minhash import near_duplicates
 from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.text import read_table
@@ -36,6 +37,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_prefix_forest": op1_prefix_forest,
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_spaced_seeds": op3_spaced_seeds,
         "op5_pieces": op5_pieces,
         "op8_licenses": op8_licenses,
+        "op9_trie_lm": op9_trie_lm,
     }
 
 
