@@ -11,6 +11,7 @@ from affinity.llm.forest import nearest
 from affinity.llm.licenses import scan_licenses
 from affinity.llm.lm import score_documents
 from affinity.llm.minhash import near_duplicates
+from affinity.llm.passages import repeated_passages
 from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.text import read_table
 
@@ -41,6 +42,10 @@ def op9_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_prefix_forest": op1_prefix_forest,
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pieces": op5_pieces,
         "op8_licenses": op8_licenses,
         "op9_trie_lm": op9_trie_lm,
+        "op10_chaining": op10_chaining,
     }
 
 
