@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.session import tune
+from affinity.session import tune, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -82,3 +82,21 @@ def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     if len(hashes) == 0:
         return np.empty(0, np.uint64)
     return np.unique(gram_hashes(hashes, min(k, len(hashes))))
+
+
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """All rows of a table of at most ``bound`` rows, else the share ``bound / rows`` of them by a hash of
+    ``key``: the same rows whatever the partitions, about ``bound`` in number at any size."""
+    rows = df.count()
+    if rows <= bound:
+        return df
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * bound / rows))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, split: int, held: int, bound: int) -> DataFrame:
+    """(doc_id, label) of at most about ``bound`` rows to learn from: labels 0 or 1 of documents whose
+    crc32 remainder is not ``held``. Conflicting labels of an id count as their maximum."""
+    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    usable = usable.filter("label in (0, 1)").filter(remainder(F.col("doc_id"), split) != held)
+    return written(
+        bounded_sample(usable.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", bound), "labelled")
