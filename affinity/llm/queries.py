@@ -8,12 +8,15 @@ from public_tokenizers import path as tokenizer_path
 
 from affinity.llm.decontaminate import contaminated
 from affinity.llm.forest import nearest
+from affinity.llm.language import identify
 from affinity.llm.licenses import scan_licenses
 from affinity.llm.lm import score_documents
 from affinity.llm.minhash import near_duplicates
 from affinity.llm.passages import repeated_passages
 from affinity.llm.pieces import digests, encode_documents
+from affinity.llm.quality import score_quality
 from affinity.llm.text import read_table
+from affinity.llm.toxicity import score_toxicity
 
 
 def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +32,23 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     return digests(encode_documents(read_table(spark, sf_dir, "documents"), model))
 
 
+def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -51,7 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_prefix_forest": op1_prefix_forest,
         "op2_minhash": op2_minhash,
         "op3_spaced_seeds": op3_spaced_seeds,
+        "op4_weak_supervision": op4_weak_supervision,
         "op5_pieces": op5_pieces,
+        "op6_factorization_machine": op6_factorization_machine,
+        "op7_language": op7_language,
         "op8_licenses": op8_licenses,
         "op9_trie_lm": op9_trie_lm,
         "op10_chaining": op10_chaining,
