@@ -3,9 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from public_tokenizers import path as tokenizer_path
 
+import corpus_pipeline
 from affinity.llm.decontaminate import contaminated
 from affinity.llm.forest import nearest
 from affinity.llm.language import identify
@@ -73,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_trie_lm": op9_trie_lm,
         "op10_chaining": op10_chaining,
+        "pipeline": corpus_pipeline.run,
     }
 
 
