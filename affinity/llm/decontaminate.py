@@ -9,7 +9,7 @@ are compared one by one.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.text import checked_broadcast
+from affinity.llm.text import checked_broadcast, without_ids
 from affinity.operators.skew import spread_join
 from affinity.session import written
 
@@ -95,6 +95,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item, with all their columns; rows with a null id stay."""
-    bad = checked_broadcast(written(contaminated(docs, benchmark).select(
-        F.col("doc_id").alias("_bad")).distinct(), "contaminated"))
-    return docs.join(bad, docs["doc_id"].cast("bigint") == F.col("_bad"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark), "contaminated")

@@ -41,6 +41,22 @@ def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The documents, with all their columns, whose id is not in the table (doc_id), which is stored
+    under ``name``. Rows with a null id stay."""
+    gone = unused(docs, "gone")
+    stored = checked_broadcast(written(ids.select(F.col("doc_id").alias(gone)).distinct(), name))
+    return docs.join(stored, docs["doc_id"].cast("bigint") == stored[gone], "left_anti")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; bytes methods know ASCII only."""
     return text.lower().split() if text else []

@@ -188,7 +188,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     crc32(doc_id) mod 3 is not 1; the label model is fitted on the votes of all documents. Only the text is an
     input of a score. Null and empty texts get the score of a text without words. Rows with a null id
     are scored, not learned from, and not called held out. Repeated rows each give a row; other columns are
-    ignored; an empty table gives no rows. Without labels of both kinds every score is 0.
+    ignored; an empty table gives no rows. Without labels of both kinds, or labelled documents, every
+    score is 0.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     known = labelled(docs, labels, "toxic", 3, 1, SAMPLE_ROWS)
@@ -235,6 +236,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     base = len(lexicon)
     sample = found.join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
+    if sample.empty:
+        return texts.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     mine = voted(sample["units"], sample["marks"])
     rows = [_feature_row(np.asarray(u, np.int64), v, base) for u, v in zip(sample["units"], mine)]
     weights = _logistic(rows, model.posterior(mine), base + width + 4)
