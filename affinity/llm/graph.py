@@ -10,9 +10,9 @@ from affinity.session import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b).
 
-    Each round gives a node the least label among its neighbours and then that label's own label,
-    so distances halve. Only tables of edges and labels exist, written once a round; the driver
-    sees the number of changed labels. No edges: no rows. A self loop gives a node of its own.
+    Each round gives a node the least of its own label, its label's label and its neighbours' labels, so
+    distances halve. Only tables of edges and labels exist, written once a round; the driver
+    learns whether a label changed. No edges: no rows. A self loop gives a node of its own.
     """
     both = written(
         edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
@@ -21,14 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(
         both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
     while True:
-        theirs = labels.select(F.col("node").alias("other"), F.col("component").alias("near"))
-        least = spread_join(both, theirs, ["other"]).groupBy("node").agg(F.min("near").alias("near"))
-        moved = labels.join(least, "node").select(
-            "node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        moved = written(moved, "moved")
-        up = moved.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        labels = written(
-            spread_join(moved, up, ["component"]).select(
-                "node", "before", F.least("component", "above").alias("component")), "labels")
-        if labels.filter("component < before").isEmpty():
-            return labels.select("node", "component")
+        near = spread_join(both, labels.toDF("other", "near"), ["other"]).select("node", "near")
+        above = spread_join(labels, labels.toDF("component", "near"), ["component"]).select("node", "near")
+        least = near.union(above).groupBy("node").agg(F.min("near").alias("near"))
+        moved = written(labels.join(least, "node").select(
+            "node", F.least("component", "near").alias("component"),
+            (F.col("near") < F.col("component")).alias("moved")), "labels")
+        labels = moved.select("node", "component")
+        if moved.filter("moved").isEmpty():
+            return labels

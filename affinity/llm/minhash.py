@@ -26,6 +26,7 @@ COORDINATES = 128
 ROWS = 4
 BANDS = COORDINATES // ROWS
 _AT_ONCE = 2048
+BLOCK_SETS = 512
 
 
 class Circulant:
@@ -96,14 +97,102 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(_similar, "a bigint, b bigint")
 
 
+def _sets(batches):
+    hashes = WordHashes()
+    for batch in batches:
+        found = [shingle_set(hashes.of(words_of(text))).view(np.int64) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+
+def shared_counts(strays: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each stray's set with each member's, by an inverted index."""
+    owners = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    values = np.concatenate(members)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    counts = np.zeros((len(strays), len(members)), np.int64)
+    for n, stray in enumerate(strays):
+        low, high = np.searchsorted(values, stray), np.searchsorted(values, stray, "right")
+        width = high - low
+        at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
+        counts[n] = np.bincount(owners[at], minlength=len(members))
+    return counts
+
+
+def _unpacked(cell):
+    rows = cell.values
+    lists = rows.field("shingles")
+    flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+    return (rows.field("rep").to_numpy(), rows.field("component").to_numpy(),
+            [flat[a:b] for a, b in zip(ends, ends[1:])])
+
+
+def _links_of_blocks(batches):
+    for batch in batches:
+        for n in range(batch.num_rows):
+            ids, own, strays = _unpacked(batch.column(0)[n])
+            others, theirs, members = _unpacked(batch.column(1)[n])
+            sizes = np.array([len(m) for m in members])
+            a, b = [], []
+            for i, counts in enumerate(shared_counts(strays, members)):
+                near = 100 * counts >= 75 * (sizes + len(strays[i]) - counts)
+                at = np.nonzero(near & (theirs != own[i]))[0]
+                _, first = np.unique(theirs[at], return_index=True)  # one link to a component joins it
+                a += [ids[i]] * len(first)
+                b += others[at[first]].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _stray_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket.
+
+    ``placed`` (band, rep, center, component) holds the buckets. Buckets with several components tie
+    their members into families; all but a family's largest component are its strays. Blocks
+    of strays meet blocks of the family, and each task counts shared shingles for a pair of blocks.
+    """
+    mixed_bands = placed.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    ties = written(
+        spread_join(placed, mixed_bands, ["band"])
+        .select("center", "rep", "component").distinct(), "ties")
+    families = components(ties.select(F.col("center").alias("a"), F.col("rep").alias("b")))
+    members = written(
+        families.toDF("rep", "family").join(
+            ties.groupBy("rep").agg(F.any_value("component").alias("component")), "rep"), "members")
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("family").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("size"),
+        F.max("n").alias("most"))
+    # In a family of two, and in one component, nothing is left to compare.
+    largest = written(largest.filter("size > 2 and size > most").withColumn(
+        "blocks", F.ceil(F.col("size") / BLOCK_SETS).cast("int")).withColumn(
+        "parts", F.ceil((F.col("size") - F.col("most")) / BLOCK_SETS).cast("int")), "families")
+    members = spread_join(members, largest, ["family"])
+    sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, "rep bigint, shingles array<bigint>")
+    held = written(spread_join(sets, members, ["rep"]), "sets")
+    row = F.struct("rep", "component", "shingles")
+    strays = (
+        held.filter("component <> main").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+        .groupBy("family", "part").agg(F.collect_list(row).alias("strays"), F.first("blocks").alias("blocks"))
+        .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))))
+    blocks = (
+        held.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        .groupBy("family", "block").agg(F.collect_list(row).alias("members"), F.first("parts").alias("parts"))
+        .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))))
+    met = spread_join(
+        strays.select("family", F.col("part").cast("int"), "block", "strays"),
+        blocks.select("family", "part", F.col("block").cast("int"), "members"), ["family", "part", "block"])
+    return met.select("strays", "members").mapInArrow(_links_of_blocks, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     Documents with equal shingle sets are one class, whose smallest id stands for it, so copies cost
-    one row each. In a bucket each class is first compared with the smallest one only; then, where
-    a bucket still holds several components, with each component's smallest; then all pairs
-    of different components that were never compared. Links found this way connect all that
-    the banding proposes, without all pairs of a group.
+    one row each. In a bucket each class is first compared with the smallest one only. Where a bucket
+    then still holds several components, shared shingles are counted block by block, so all
+    links between components that the banding proposes are found without a row for each pair.
 
     Null and empty texts have no shingles and are their own component. Texts of fewer than five words
     are one shingle. Rows with a null id take no part; a repeated id counts once, by its larger text.
@@ -121,50 +210,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.any_value("n_shingles").alias("size")), "classes")
 
     buckets = classes.select("rep", "size", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
-    shared = shared.filter("center < last").drop("last")
+    shared = buckets.groupBy("band").agg(F.min(F.struct("rep", "size")).alias("first"), F.max("rep").alias("last"))
+    shared = shared.filter("first.rep < last").select(
+        "band", F.col("first.rep").alias("center"), F.col("first.size").alias("other"))
     members = written(spread_join(buckets, shared, ["band"]), "buckets")
     ids = checked_broadcast(written(members.select(F.col("rep").alias("doc_id")).distinct(), "ids"))
     texts = written(source.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(
         F.max_by("text", F.length("text")).alias("text")), "texts")
-    fits = "least(size, other) * 100 >= greatest(size, other) * 75"
-
-    sizes = classes.select(F.col("rep").alias("center"), F.col("size").alias("other"))
-    seen = written(
-        spread_join(members.select("center", "rep", "size").filter("center < rep").distinct(), sizes, ["center"])
-        .filter(fits).select(F.col("center").alias("a"), F.col("rep").alias("b")), "pairs")
-    links = written(_linked(seen, texts), "links")
-    for step in ("smallest", "all"):
-        joined = components(links) if not links.isEmpty() else links.select(
-            F.col("a").alias("node"), F.col("b").alias("component"))
-        placed = spread_join(members, joined.withColumnRenamed("node", "rep"), ["rep"], "left").select(
-            "band", "rep", "size", F.coalesce("component", "rep").alias("component"))
-        # The smallest member of each component in each bucket, its size, and the buckets with several.
-        firsts = placed.groupBy("band", "component").agg(F.min(F.struct("rep", "size")).alias("first"))
-        several = firsts.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-        open_buckets = written(spread_join(placed, several, ["band"]), "open")
-        if step == "smallest":
-            right = spread_join(firsts, several, ["band"]).select(
-                "band", F.col("component").alias("theirs"), F.col("first.rep").alias("peer"),
-                F.col("first.size").alias("other"))
-        else:
-            right = open_buckets.select("band", F.col("component").alias("theirs"),
-                                        F.col("rep").alias("peer"), F.col("size").alias("other"))
-        new = (
-            spread_join(open_buckets, right, ["band"]).filter("component <> theirs").filter(fits)
-            .select(F.least("rep", "peer").alias("a"), F.greatest("rep", "peer").alias("b")).distinct()
-            .join(seen, ["a", "b"], "left_anti"))
-        new = written(new, "pairs")
-        if new.isEmpty():
-            break
-        links = written(links.union(_linked(new, texts)), "links")
-        seen = seen.union(new)
-
-    copies = spread_join(
-        sketches.filter("print is not null").select("doc_id", "print"), classes.select("print", "rep"), ["print"])
-    edges = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a < b").union(links)
-    found = components(written(edges, "links"))
-    return (
-        sketches.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    pairs = members.filter("center < rep and least(size, other) * 100 >= greatest(size, other) * 75").select(
+        F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    links = written(_linked(pairs, texts), "links")
+    joined = components(links)
+    placed = spread_join(members, joined.toDF("rep", "component"), ["rep"], "left").select(
+        "band", "rep", "center", F.coalesce("component", "rep").alias("component"))
+    more = written(_stray_links(placed, texts), "links")
+    if not more.isEmpty():
+        joined = components(links.union(more))
+
+    found = spread_join(classes.select("print", "rep"), joined.toDF("rep", "component"), ["rep"], "left").select(
+        "print", F.coalesce("component", "rep").alias("component"))
+    return spread_join(sketches, found, ["print"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+        (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))
