@@ -11,7 +11,7 @@ from affinity.operators.factors import (
 )
 from affinity.operators.machine import (
     CARModel, fm_params, fm_score_points, predict_context, predict_points, score_context,
-    train_fm, train_fm_blocks,
+    solve_block, train_fm, train_fm_blocks,
 )
 from affinity.operators.points import (
     active_item_columns, active_items, active_user_columns, active_users, assemble_features,
@@ -22,7 +22,7 @@ from affinity.operators.preferences import (
     build_context_preferences, build_preferences, last_transaction, rated_items, related_item,
 )
 from affinity.operators.rules import (
-    derive_rules, drop_redundant, frequent_itemsets, match_rules, mine_top_k_rules,
+    closed_rules, distinct_baskets, match_rules, mine_top_k_rules, minimal_generators,
     recommend_from_rules, rules_of_users,
 )
 from affinity.operators.topk import top_k_scores, unit_rows

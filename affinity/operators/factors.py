@@ -133,9 +133,21 @@ def predict_pairs(model: MFModel, pairs: DataFrame) -> DataFrame:
 
 
 def predict_one(model: MFModel, user: str, item: int) -> DataFrame:
-    """M5: the pair of one user and one item; dictionary and factor filters are pushed down."""
-    spark = model.users.sparkSession
-    return predict_pairs(model, spark.createDataFrame([(user, item)], "user string, item int"))
+    """M5: the pair of one user and one item.
+
+    Two dictionary rows give the ids, and the filters on terms and ids reach the four scans.
+    """
+    def vector(names: DataFrame, factors: DataFrame, term: str, side: str) -> DataFrame:
+        found = names.filter(F.col("term") == term).select("idx").first()
+        key = found.idx if found else None
+        return factors_of(factors, F.lit(key).cast("int")).select(F.col("features").alias(side))
+
+    users = vector(model.users, model.user_factors, user, "_x")
+    items = vector(model.items, model.item_factors, str(item), "_y")
+    pair = users.withColumn("_one", F.lit(1)).join(items.withColumn("_one", F.lit(1)), "_one")
+    return pair.select(
+        F.lit(model.site).alias("site"), F.lit(user).alias("user"), F.lit(item).cast("int").alias("item"),
+        dot(F.col("_x"), F.col("_y"), model.rank).alias("score"))
 
 
 def by_score(df: DataFrame, *ties: str) -> DataFrame:

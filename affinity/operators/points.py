@@ -12,6 +12,7 @@ from affinity.functions.arrays import multi_hot, one_hot, one_hot_position, time
 from affinity.operators.dictionary import block_of
 from affinity.operators.skew import spread_join
 from affinity.schemas import BLOCKS, CONTEXT_COLS
+from affinity.session import written
 from affinity.validation import check_columns
 
 # The single-valued blocks and the columns they come from.
@@ -207,24 +208,29 @@ def _active(rows: DataFrame, requests: DataFrame, given: str, found: str) -> Dat
     conditions = [c for c in CONTEXT_COLS if c in requests.columns]
     if not conditions:
         raise ValueError(f"requests need at least one of {', '.join(CONTEXT_COLS)}")
-    asked = requests.filter(F.coalesce(*[F.col(c).cast("string") for c in conditions]).isNotNull())
-    matches = [F.col("_asked")[c].isNull() | (F.col("_asked")[c] == F.col(c)) for c in conditions]
-    wanted = asked.select(
-        "request_id", "site", given, F.struct(*conditions).alias("_asked"))
-    met = spread_join(rows.select("site", given, found, *conditions), wanted, ["site", given])
-    return (
-        met.filter(reduce(lambda a, b: a & b, matches))
-        .select("request_id", "site", found).distinct()
-    )
+    seen = written(rows.select("site", given, found, *conditions).distinct(), "contexts")
+    given_cells = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in conditions])
+    asked = written(
+        requests.select("request_id", "site", given, *conditions, given_cells.alias("_mask")), "requests")
+    met = []
+    # At most 15 ways to give some of four cells; each is an equi join on the cells it gives.
+    for mask in sorted(r[0] for r in asked.select("_mask").distinct().collect()):
+        cells = [c for c, bit in zip(conditions, mask) if bit == "1"]
+        if cells:
+            wanted = asked.filter(F.col("_mask") == mask).select("request_id", "site", given, *cells)
+            known = seen.select("site", given, *cells, found).distinct()
+            met.append(spread_join(known, wanted, ["site", given, *cells]).select("request_id", "site", found))
+    if not met:
+        return asked.join(seen, ["site", given]).filter(F.lit(False)).select("request_id", "site", found)
+    return reduce(lambda a, b: a.union(b), met).distinct()
 
 
 def active_items(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, site, item), the distinct items of each request's user and context.
 
     ``requests`` is (request_id, site, user, and any context columns); a null context
-    cell is no condition, and a request with none matches nothing. The equi join on
-    (site, user) pairs each event only with requests of its user, and duplicates
-    combine before the shuffle.
+    cell is no condition, and a request with none matches nothing. Events count once for each
+    distinct context, and meet only the requests that ask for its cells.
     """
     return _active(rows, requests, "user", "item")
 

@@ -44,7 +44,7 @@ def hot_groups(df: DataFrame, keys: list[str], rows_per_chunk: int) -> DataFrame
     """(keys, pieces) of the groups above ``rows_per_chunk`` rows, written once.
 
     Counts combine before the shuffle. The result has at most ``rows / rows_per_chunk``
-    rows, whatever the data, which bounds every broadcast built on it.
+    rows; whether a join on it broadcasts is left to the planner, which knows its size.
     """
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -59,13 +59,13 @@ def split_hot_groups(df: DataFrame, keys: list[str], order: str, hot: DataFrame)
     """Add ``_chunk``: null for ordinary groups, an order-preserving piece number for hot ones."""
     grid = ", ".join(f"{i / (_GRID * _GRID)}D" for i in range(1, _GRID * _GRID))
     bounds = written(
-        df.join(F.broadcast(hot), keys).groupBy(*keys).agg(
+        df.join(hot, keys).groupBy(*keys).agg(
             F.expr(f"percentile_approx({order}, array({grid}), {16 * _GRID * _GRID})").alias("_bounds"),
             F.first("_pieces").alias("_pieces")),
         "hot-bounds")
     piece = F.floor(
         _piece(F.col("_bounds"), F.col(order)) * F.col("_pieces") / (_GRID * _GRID)).cast("int")
-    marked = df.join(F.broadcast(bounds), keys, "left")
+    marked = df.join(bounds, keys, "left")
     return marked.withColumn(
         "_chunk", F.when(F.col("_pieces").isNotNull(), piece)
     ).drop("_bounds", "_pieces")
@@ -104,7 +104,7 @@ def lag_in_groups(
     same = reduce(
         lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"c.{c}") for c in [*keys, "_chunk"]]
     ) & F.col("l._head")
-    joined = local.alias("l").join(F.broadcast(carry).alias("c"), same, "left")
+    joined = local.alias("l").join(carry.alias("c"), same, "left")
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
         F.coalesce(F.col(f"l.{out}"), F.col("c._carry")).alias(out),

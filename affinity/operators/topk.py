@@ -112,13 +112,15 @@ def top_k_scores(
     join on block numbers, one matrix product scores a pair of blocks inside its task,
     and only ``k`` rows per left vector leave it. Right blocks small enough are
     broadcast by the planner; otherwise the pairs spread over (right block, slice of
-    left blocks). Ties go to the smaller id. Exact.
+    left blocks). Ties go to the smaller id. Exact. A null vector, or one with a null or
+    non-finite cell, takes no part on either side.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     as_double = F.col("features").cast("array<double>").alias("features")
-    left = left.select("id", as_double).filter("features is not null")
-    right = right.select("id", as_double).filter("features is not null")
+    whole = "forall(features, x -> x is not null and abs(x) < double('infinity'))"
+    left = left.select("id", as_double).filter(whole)
+    right = right.select("id", as_double).filter(whole)
     slots = left.sparkSession.sparkContext.defaultParallelism
     n_left, n_right = left.count(), right.count()
     left_rows = min(block_rows, max(128, math.ceil(n_left / (2 * slots))))

@@ -102,7 +102,7 @@ SELECT p.site, p."user", p.item, round({_DOT}, 6) AS score{{extra}}
 FROM (SELECT DISTINCT site, "user", item FROM ev) p
 JOIN vec a ON CAST(a.id AS VARCHAR) = p."user" JOIN vec b ON b.id = p.item"""
 
-_FACTORS = 8
+_FACTORS = 64
 _PARAMS = f"""
 params AS (SELECT col, block, term, label / 10.0::DOUBLE AS w,
   list_slice(embedding, 1, {_FACTORS})::DOUBLE[] AS v FROM lay JOIN embeddings ON vec_id = col)
@@ -149,37 +149,33 @@ SELECT col AS name, CAST(row_number() OVER (PARTITION BY col ORDER BY score DESC
   sim_col AS other, round(score, 6) AS score FROM matrix"""
 
 
-_BASKETS = """
-bi AS (SELECT DISTINCT l_orderkey AS g, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS i
-       FROM lineitem JOIN part ON l_partkey = p_partkey)
-"""
-_RULES = f"""{_BASKETS},
-s1 AS (SELECT i AS a, count(*) AS c FROM bi GROUP BY i),
-s2 AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM bi x JOIN bi y ON x.g = y.g AND x.i < y.i GROUP BY ALL),
-s3 AS (SELECT x.i AS a, y.i AS b, z.i AS d, count(*) AS c FROM bi x JOIN bi y ON x.g = y.g AND x.i < y.i
-       JOIN bi z ON x.g = z.g AND y.i < z.i GROUP BY ALL),
-cx AS (SELECT [a] AS x, c FROM s1 UNION ALL SELECT [a, b], c FROM s2),
-cand AS (
-  SELECT [a] AS x, [b] AS y, c AS sup FROM s2 UNION ALL SELECT [b], [a], c FROM s2
-  UNION ALL SELECT [a], [b, d], c FROM s3 UNION ALL SELECT [b], [a, d], c FROM s3
-  UNION ALL SELECT [d], [a, b], c FROM s3 UNION ALL SELECT [a, b], [d], c FROM s3
-  UNION ALL SELECT [a, d], [b], c FROM s3 UNION ALL SELECT [b, d], [a], c FROM s3),
-conf AS (SELECT x, y, sup, c AS cx, sup / c AS confidence FROM cand JOIN cx USING (x)
-         WHERE sup / c >= 0.15 AND sup >= 2),
+_RULES = """RECURSIVE
+bi AS (SELECT DISTINCT 's' || CAST(o_custkey % 3 + 1 AS VARCHAR) AS site, l_orderkey AS g,
+         CAST(CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) * 100 + s_nationkey AS INTEGER) AS i
+       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+         JOIN orders ON o_orderkey = l_orderkey),
+sub AS (SELECT site, g, [i] AS s FROM bi
+        UNION ALL SELECT sub.site, sub.g, list_append(s, bi.i) FROM sub JOIN bi ON bi.g = sub.g AND bi.i > s[-1]),
+freq AS (SELECT site, s, count(*) AS c FROM sub GROUP BY ALL),
+parts AS (SELECT site, s, c, list_filter(s, lambda x: x <> y) AS p FROM (SELECT *, unnest(s) AS y FROM freq WHERE len(s) > 1)),
+equal AS (SELECT p.site, p.s, p.p FROM parts p JOIN freq f ON f.site = p.site AND f.s = p.p AND f.c = p.c),
+closed AS (SELECT site, s, c FROM freq WHERE len(s) > 1 AND (site, s) NOT IN (SELECT site, p FROM equal)),
+gens AS (SELECT site, s, c FROM freq WHERE (site, s) NOT IN (SELECT site, s FROM equal)),
+split AS (SELECT site, s, c, unnest(range(1, CAST(pow(2, len(s)) AS BIGINT) - 1)) AS m FROM closed),
+cand AS (SELECT site, c AS sup, list_filter(s, lambda v, i: (m >> (i - 1)) % 2 = 1) AS x,
+           list_filter(s, lambda v, i: (m >> (i - 1)) % 2 = 0) AS y FROM split),
 rules AS (
-  SELECT x AS antecedent, y AS consequent, CAST(sup AS INTEGER) AS support, confidence FROM conf r
-  WHERE NOT EXISTS (SELECT 1 FROM conf b WHERE b.sup = r.sup AND b.cx = r.cx
-    AND list_has_all(r.x, b.x) AND list_has_all(b.y, r.y)
-    AND (len(b.x) < len(r.x) OR len(b.y) > len(r.y)))
-  ORDER BY support DESC, confidence DESC, antecedent, consequent LIMIT 20)
+  SELECT cand.site, x AS antecedent, y AS consequent, CAST(sup AS INTEGER) AS support, sup / gens.c AS confidence
+  FROM cand JOIN gens ON gens.site = cand.site AND gens.s = x WHERE sup / gens.c >= 0.15
+  QUALIFY row_number() OVER (PARTITION BY cand.site ORDER BY support DESC, confidence DESC, antecedent, consequent) <= 2000)
 """
 _MATCHED = f"""{_RULES},
-tx AS (SELECT 's1' AS site, CAST(o_custkey AS VARCHAR) AS "user", o_orderkey AS g, o_orderdate AS ts, i
+tx AS (SELECT site, CAST(o_custkey AS VARCHAR) AS "user", o_orderkey AS g, o_orderdate AS ts, i
        FROM bi JOIN orders ON o_orderkey = g),
 last AS (SELECT site, "user", i FROM tx
   QUALIFY rank() OVER (PARTITION BY site, "user" ORDER BY ts DESC, g DESC) = 1),
 hits AS (SELECT site, "user", antecedent, consequent, support, confidence, count(*) AS h
-  FROM (SELECT *, unnest(antecedent) AS i FROM rules) JOIN last USING (i) GROUP BY ALL),
+  FROM (SELECT *, unnest(antecedent) AS i FROM rules) JOIN last USING (site, i) GROUP BY ALL),
 matched AS (SELECT site, "user", antecedent, consequent, support, confidence,
   h / len(antecedent) AS weight FROM hits WHERE h / len(antecedent) >= 0.5)
 """
@@ -194,7 +190,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "preferences_npref": f"WITH {_BASE} SELECT * FROM npref",
         "preferences_json": f"WITH {_BASE} SELECT * FROM npref",
-        "preferences_store_roundtrip": f"WITH {_BASE} SELECT * FROM npref",
+        "preferences_store_roundtrip": f"""WITH {_BASE}
+SELECT lpad(CAST(item % 9 AS VARCHAR), 3, '0') AS site, "user", item, score FROM npref""",
         "preferences_epref": f"WITH {_BASE} SELECT {epref_columns} FROM epref",
         "preferences_weight_table": f"""WITH {_BASE},
 r2 AS (SELECT site, "user", item, sum(length(event)) AS raw FROM ev GROUP BY ALL)
@@ -221,8 +218,10 @@ SELECT event_id,
   array_to_string([CASE WHEN i = hour(ts) THEN 1 ELSE 0 END FOR i IN range(24)], ' ') AS cells,
   CAST(isodow(ts) - 1 AS INTEGER) AS day_position, CAST(hour(ts) + 7 AS INTEGER) AS hour_position,
   CAST(NULL AS INTEGER) AS no_position FROM events""",
-        "multi_hot_block": f"""WITH {_BASE}, mine AS (SELECT "user", list(DISTINCT item) AS items FROM ev GROUP BY ALL)
-SELECT "user", array_to_string([CASE WHEN list_contains(items, i) THEN 1 ELSE 0 END FOR i IN range(100)], '') AS cells FROM mine""",
+        "multi_hot_block": f"""WITH {_BASE}, idt AS {_dictionary('ev', 'item')},
+mine AS (SELECT "user", list(DISTINCT idx) AS items FROM ev JOIN idt ON term = CAST(item AS VARCHAR) GROUP BY ALL)
+SELECT "user", array_to_string([CASE WHEN list_contains(items, i) THEN 1 ELSE 0 END FOR i IN range(n)], '') AS cells
+FROM mine, (SELECT count(*) AS n FROM idt)""",
         "feature_points_long": f"{_EPREF_LAYOUT}, {_CELLS} SELECT row_id, col, val FROM cells",
         "feature_points_sparse": f"""{_EPREF_LAYOUT}, {_CELLS}
 SELECT row_id, score AS target, col, val FROM cells JOIN epref ON event_id = row_id""",
@@ -241,11 +240,12 @@ WHERE item = '42' AND event = 'click' AND "dayOfweek" = 2""",
         "active_users": f"""WITH {_BASE}, {_active('item', '"user"', 'ev')} SELECT request_id, site, "user" FROM active""",
         "mf_predict_pairs": _PAIRS.format(extra=""),
         "model_save_load": _PAIRS.format(extra=", 64 AS rank"),
-        "mf_predict_zipped": """
+        "mf_predict_zipped": f"""
 WITH p AS (SELECT l_orderkey, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem),
-s AS (SELECT l_orderkey, l_suppkey AS supplier, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS r
-      FROM lineitem WHERE l_linenumber < 4)
-SELECT l_orderkey, part, supplier FROM p JOIN s USING (l_orderkey, r)""",
+s AS (SELECT l_orderkey, l_suppkey AS supplier, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS r
+      FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)), {_VEC}
+SELECT l_orderkey, part, supplier, round({_DOT}, 6) AS score FROM p JOIN s USING (l_orderkey, r)
+JOIN vec a ON a.id = part JOIN vec b ON b.id = supplier""",
         "mf_predict_one": f"""WITH {_VEC}
 SELECT 's1' AS site, '3' AS "user", 4 AS item, round({_DOT}, 6) AS score FROM vec a, vec b WHERE a.id = 3 AND b.id = 4""",
         "factor_lookup": """SELECT CAST(vec_id AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS pos, embedding[i] AS value
@@ -264,10 +264,22 @@ FROM npref JOIN vec a ON CAST(a.id AS VARCHAR) = "user" JOIN vec b ON b.id = ite
 SELECT a.id, round({_DOT}, 6) AS dot, round(sqrt(list_inner_product(a.x, a.x)), 6) AS magnitude,
   round({_DOT} / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))), 6) AS cosine,
   CAST(NULL AS DOUBLE) AS cosine_zero FROM vec a JOIN vec b ON b.id = a.id + 1""",
+        "als_recommend": f"""WITH {_BASE}
+SELECT DISTINCT site, "user", least(10, (SELECT count(DISTINCT item) FROM npref)) AS n, TRUE AS as_product,
+  TRUE AS in_order FROM npref""",
+        "fm_train_predict": f"WITH {_BASE} SELECT count(*) AS n, TRUE AS beats_mean FROM epref WHERE related IS NOT NULL",
+        "fm_block_step": f"""{_EPREF_LAYOUT}, {_CELLS}, {_PARAMS},
+held AS (SELECT row_id, sum(w * val) AS l, sum(v[1] * val) AS s, sum(v[1] * v[1] * val * val) AS q
+  FROM cells JOIN params USING (col) WHERE block <> 'hour' GROUP BY row_id),
+rest AS (SELECT CAST("hourOfday" AS VARCHAR) AS term, s, score - 0.5 - l - (s * s - q) / 2 AS y
+  FROM epref JOIN held ON row_id = event_id),
+eq AS (SELECT term, 1.05 * count(*) AS a, sum(s) AS b, sum(s * s) + 0.05 * count(*) AS d, sum(y) AS e, sum(s * y) AS f
+  FROM rest GROUP BY term)
+SELECT term, round((e * d - b * f) / (a * d - b * b), 5) AS w, round((a * f - b * e) / (a * d - b * b), 5) AS v FROM eq""",
         "als_training_error": f"WITH {_BASE} SELECT count(*) AS ratings, TRUE AS as_reported, TRUE AS beats_mean FROM npref",
         "fm_training_error": f"WITH {_BASE} SELECT count(*) AS n, TRUE AS beats_mean FROM epref",
         "fm_train_blocks": f"WITH {_BASE} SELECT count(*) AS n, TRUE AS beats_mean FROM epref",
-        "top_k_rules": f"WITH {_RULES} SELECT {_RULE_TEXT} FROM rules",
+        "top_k_rules": f"WITH {_RULES} SELECT site, {_RULE_TEXT} FROM rules",
         "match_rules": f'WITH {_MATCHED} SELECT site, "user", {_RULE_TEXT}, weight FROM matched',
         "user_rules_json": f'WITH {_MATCHED} SELECT site, "user", {_RULE_TEXT}, weight FROM matched',
         "rules_of_users": f"""WITH {_MATCHED} SELECT site, "user", {_RULE_TEXT}, weight FROM matched

@@ -10,6 +10,7 @@ from affinity.operators.machine import CARModel, predict_context
 from affinity.plans.pipelines import (
     als_pipeline, asr_pipeline, car_pipeline, recommend_by_rules,
 )
+from affinity.session import tune
 from affinity.validation import check_algorithm, check_build
 
 
@@ -20,6 +21,9 @@ def _refuse(kind: str, algorithm: str):
 def build(algorithm: str, source: DataFrame, *, rating: str | None = None, **options):
     """check the request, then run the pipeline of its algorithm."""
     check_build(algorithm, rating)
+    tune(source.sparkSession)
+    if algorithm == "CAR" and rating == "explicit":
+        raise ValueError("CAR learns from events; given preferences have no context")
     if algorithm == "ALS":
         return als_pipeline(source, rating=rating, **options)
     if algorithm == "ASR":
@@ -30,6 +34,7 @@ def build(algorithm: str, source: DataFrame, *, rating: str | None = None, **opt
 def predict(algorithm: str, model: MFModel | CARModel, requests: DataFrame) -> DataFrame:
     """Scores of (user, item) pairs, or of pairs in a context."""
     check_algorithm(algorithm)
+    tune(requests.sparkSession)
     if algorithm == "ALS":
         return predict_pairs(model, requests)
     if algorithm == "CAR":
@@ -39,14 +44,16 @@ def predict(algorithm: str, model: MFModel | CARModel, requests: DataFrame) -> D
 
 def recommend(
     algorithm: str, model, requests: DataFrame, total: int, topic: str = "item",
-    rows: DataFrame | None = None,
+    rows: DataFrame | None = None, top_n: int = 10,
 ) -> DataFrame:
     """Best items for users (``topic="item"``) or users for items (``topic="user"``).
 
     ``model`` is an MFModel (ALS), mined rules (ASR, with the transactions as ``rows``)
-    or a CARModel (CAR, with the context preferences as ``rows``).
+    or a CARModel (CAR, with the context preferences as ``rows``), which takes the ``top_n``
+    columns most similar to each active one.
     """
     check_algorithm(algorithm)
+    tune(requests.sparkSession)
     if topic not in ("item", "user"):
         raise ValueError(f"topic must be item or user, got {topic!r}")
     if algorithm == "ALS":
@@ -56,8 +63,8 @@ def recommend(
             _refuse("recommend user", algorithm)
         return recommend_by_rules(model, rows, requests, total)
     if topic == "item":
-        return recommend_items_in_context(rows, requests, model, total)
-    return recommend_users_in_context(rows, requests, model, total)
+        return recommend_items_in_context(rows, requests, model, total, top_n)
+    return recommend_users_in_context(rows, requests, model, total, top_n)
 
 
 def similar(
@@ -69,7 +76,7 @@ def similar(
     if algorithm != "CAR":
         _refuse("similar", algorithm)
     if users is not None:
-        return similar_users(model.params, users, total)
+        return similar_users(model, users, total)
     if items is not None:
-        return similar_items(model.params, items, total)
+        return similar_items(model, items, total)
     raise ValueError("a similar request names users or items")

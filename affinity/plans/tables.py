@@ -1,6 +1,6 @@
 """The given tables seen as events, transactions and factor vectors."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity.operators.factors import MFModel
@@ -40,18 +40,24 @@ def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("group"), F.col("l_partkey").cast("int").alias("item"))
 
 
-def brand_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ordered brand: (group, item)."""
-    brands = table(spark, sf_dir, "part").select(
-        "p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("item"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), "l_partkey")
-    return lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).select("group", "item")
+def branch(customer: str) -> Column:
+    """One of three sites, by the customer's number."""
+    return F.concat(F.lit("s"), (F.col(customer) % 3 + 1).cast("string"))
 
 
 def brand_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ordered brand with its header: (site, user, group, ts, item)."""
-    return brand_items(spark, sf_dir).join(headers(spark, sf_dir), "group").select(
-        "site", "user", "group", "ts", "item")
+    """One row per ordered brand and supplier nation with its header: (site, user, group, ts, item)."""
+    brands = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"),
+        F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("brand"))
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), "l_partkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("group"), branch("o_custkey").alias("site"),
+        F.col("o_custkey").cast("string").alias("user"), F.col("o_orderdate").alias("ts"))
+    item = (F.col("brand") * 100 + F.col("s_nationkey")).cast("int").alias("item")
+    return lines.join(brands, "l_partkey").join(nations, "l_suppkey").join(orders, "group").select(
+        "site", "user", "group", "ts", item)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

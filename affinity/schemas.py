@@ -29,11 +29,34 @@ CONTEXT_PREF = T.StructType([
     T.StructField("score", T.DoubleType()),
 ])
 
+EVENT_ID = T.StructField("event_id", T.LongType())
+
 POINT = T.StructType([
     T.StructField("target", T.DoubleType()),
     T.StructField("features", T.ArrayType(T.DoubleType())),
 ])
 
+PARAMS = T.StructType([
+    T.StructField("col", T.IntegerType()),
+    T.StructField("block", T.StringType()),
+    T.StructField("term", T.StringType()),
+    T.StructField("w", T.DoubleType()),
+    T.StructField("v", T.ArrayType(T.DoubleType())),
+])
+
+RATED = T.StructType([
+    T.StructField("site", T.StringType()),
+    T.StructField("user", T.StringType()),
+    T.StructField("item", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+])
+
+MATRIX = T.StructType([
+    T.StructField("col", T.IntegerType()),
+    T.StructField("sim_col", T.IntegerType()),
+    T.StructField("score", T.DoubleType()),
+])
+
 LAYOUT = T.StructType([
     T.StructField("col", T.IntegerType()),
     T.StructField("block", T.StringType()),
@@ -48,6 +71,8 @@ _RULE_FIELDS = [
 ]
 RULE = T.StructType(_RULE_FIELDS)
 
+SITE_RULE = T.StructType([T.StructField("site", T.StringType()), *_RULE_FIELDS])
+
 WEIGHTED_RULE = T.StructType(_RULE_FIELDS + [T.StructField("weight", T.DoubleType())])
 
 USER_RULES = T.StructType([

@@ -1,9 +1,9 @@
 from affinity.sources.readers import (
-    map_columns, parse_points, read_events, read_points, read_preferences,
+    map_columns, parse_points, read_context_preferences, read_events, read_points, read_preferences,
 )
-from affinity.sources.writers import write_points, write_preferences
+from affinity.sources.writers import write_context_preferences, write_points, write_preferences
 
 __all__ = [
-    "map_columns", "parse_points", "read_events", "read_points", "read_preferences",
-    "write_points", "write_preferences",
+    "map_columns", "parse_points", "read_context_preferences", "read_events", "read_points",
+    "read_preferences", "write_context_preferences", "write_points", "write_preferences",
 ]

@@ -1,19 +1,44 @@
-"""Scans. Schemas are explicit, so projections and filters reach the file scan."""
+"""Scans. Schemas are explicit: nothing is inferred, and filters reach the file scan."""
 
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinity.functions.arrays import split_list
-from affinity.schemas import POINT, PREF
-from affinity.validation import SOURCES, one_of
+from affinity.schemas import CONTEXT_PREF, EVENT_ID, POINT, PREF
+from affinity.validation import SINKS, SOURCES, one_of
 
 
-def read_preferences(spark: SparkSession, path: str) -> DataFrame:
-    """Preferences from Parquet, bound by column name."""
-    stored = spark.read.parquet(path)
-    return stored.select(*[F.col(f.name).cast(f.dataType) for f in PREF])
+# The folders of preferences stored by site.
+SITE_FOLDER, SITE_MARK = "by_site", "site-"
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    one_of("fmt", fmt, SINKS)
+    reader = spark.read.schema(schema)
+    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+
+
+def read_preferences(
+    spark: SparkSession, path: str, fmt: str = "parquet", by_site: bool = False
+) -> DataFrame:
+    """Preferences from Parquet or CSV, ``by_site`` if they were written so.
+
+    A site is text whatever it looks like: its folder has a mark before it, so no type is
+    inferred and an empty site is not a missing one. A filter on the site reads its folder only.
+    """
+    if not by_site:
+        return _read(spark, path, PREF, fmt)
+    inside = T.StructType([f for f in PREF if f.name != "site"] + [T.StructField(SITE_FOLDER, T.StringType())])
+    site = F.substring(SITE_FOLDER, len(SITE_MARK) + 1, 1 << 30)
+    return _read(spark, path, inside, fmt).withColumn("site", site).select(*PREF.names)
+
+
+def read_context_preferences(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Context preferences from Parquet or CSV, with the id of the event behind each."""
+    return _read(spark, path, T.StructType([EVENT_ID, *CONTEXT_PREF]), fmt)
 
 
 def parse_points(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -30,8 +55,7 @@ def read_points(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     one_of("fmt", fmt, SOURCES)
     if fmt == "text":
         return parse_points(spark.read.text(path))
-    stored = spark.read.parquet(path)
-    return stored.select(*[F.col(f.name).cast(f.dataType) for f in POINT])
+    return spark.read.schema(POINT).parquet(path)
 
 
 def map_columns(df: DataFrame, mapping: Mapping[str, str | Column]) -> DataFrame:

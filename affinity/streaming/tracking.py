@@ -1,7 +1,9 @@
 """Append tracked events to the event store, from a batch or a stream."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinity.validation import check_columns
 
@@ -12,13 +14,27 @@ def _dated(events: DataFrame) -> DataFrame:
     return timed.withColumn("date", F.to_date("ts"))
 
 
+def _unseen(dated: DataFrame, path: str) -> DataFrame:
+    """The events whose id is not stored yet; only the dates they touch are read."""
+    kept = [f for f in dated.schema if f.name == "event_id"] + [T.StructField("date", T.DateType())]
+    try:
+        stored = dated.sparkSession.read.schema(T.StructType(kept)).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return dated
+    touched = stored.join(dated.select("date").distinct(), "date", "left_semi")
+    return dated.join(touched, ["date", "event_id"], "left_anti").select(*dated.columns)
+
+
 def track_events(
     events: DataFrame, path: str, checkpoint: str | None = None, lateness: str = "1 day",
     trigger: dict | None = None,
 ):
     """Append events to a Parquet store laid out by date, each event id once.
 
-    A batch drops repeats within itself and returns None; the rebalance hint cuts a
+    A batch drops repeats within itself and of stored events, which have the same id and
+    date, so it can be sent again after a failure; it returns None. The rebalance hint cuts a
     busy date into even files and merges small ones. A stream drops repeats arriving
     within ``lateness``, which also bounds its state, and returns the running query;
     ``checkpoint`` must be a folder every executor can reach.
@@ -26,7 +42,8 @@ def track_events(
     check_columns(events, ["event_id", "ts"], "events")
     if not events.isStreaming:
         once = events.dropDuplicates(["event_id"])
-        _dated(once).hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
+        new = _unseen(_dated(once), path)
+        new.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
         return None
     if not checkpoint:
         raise ValueError("a stream needs a checkpoint folder")

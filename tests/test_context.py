@@ -100,17 +100,20 @@ def test_block_solutions_are_ridge_solutions(fitted):
     """A solved block cannot be improved: the gradient of its own objective is zero."""
     import numpy as np
 
-    from affinity.operators.machine import _solve_block, block_tables, context_sums, rated_sums
+    from affinity.operators.machine import block_tables, context_sums, rated_sums, solve_block
 
     rows, layout, rated, _, _, model = fitted
     tables = block_tables(model.params)
-    per_user = rated_sums(tables, rated, 3)
-    solved = {r.term: np.array([r.w, *r.v]) for r in _solve_block(
-        tables, per_user, rows, model.intercept, 3, 0.05, "hour").collect()}
+    states = context_sums(tables, rated_sums(tables, rated, 3), rows)
+    solved = {r.term: np.array([r.w, *r.v]) for r in solve_block(
+        states, tables["hour"], model.intercept, 3, 0.05, "hour").collect()}
+    old = {r.term: (r.w, np.array(r.v)) for r in tables["hour"].collect()}
     sums = {}
-    for r in context_sums(tables, per_user, rows, skip="hour").collect():
-        x = np.array([1.0, *r._v])
-        rest = r.score - (model.intercept + r._w + (np.dot(r._v, r._v) - r._q) / 2)
+    for r in states.collect():
+        w, v = old[str(r.hourOfday)]
+        others, q = np.array(r._v) - v, r._q - v @ v
+        x = np.array([1.0, *others])
+        rest = r.score - (model.intercept + r._w - w + (others @ others - q) / 2)
         a, b, n = sums.get(str(r.hourOfday), (0, 0, 0))
         sums[str(r.hourOfday)] = (a + np.outer(x, x), b + x * rest, n + 1)
     for hour, (a, b, n) in sums.items():
@@ -118,21 +121,29 @@ def test_block_solutions_are_ridge_solutions(fitted):
     assert len(solved) == 24
 
 
-def test_wide_layouts_go_to_the_block_trainer(fitted, monkeypatch):
-    from affinity.operators import machine
-    from affinity.plans.pipelines import train_car
-
-    rows, layout, rated, points = fitted[:4]
-    monkeypatch.setattr(machine, "MAX_DRIVER_PARAMS", 10)
-    with pytest.raises(ValueError):
-        train_fm(points, factor_size=2)
-    assert train_car(rows, layout, rated, 2, iterations=1).factor_size == 2
+def test_no_penalty(fitted):
+    """Singular equations have a shortest solution."""
+    rows, layout, rated = fitted[:3]
+    assert train_fm_blocks(rows, layout, rated, 2, reg=0.0, iterations=1).params.filter("isnan(w)").isEmpty()
 
 
-def test_vector_cells(fitted):
-    from affinity.plans.pipelines import vector_cells
+def test_block_trainer_against_sparks(fitted):
+    from affinity.plans.pipelines import train_car_in_driver
 
     rows, layout, rated = fitted[:3]
-    cells = assemble_features(rows, layout, rated).join(
-        layout.filter("block = 'rated'").select("col"), "col", "left_semi")
-    assert vector_cells(rows, rated) == cells.count()
+    theirs = error(train_car_in_driver(rows, layout, rated, 3, iterations=100), rows)
+    spread = rows.agg(F.stddev_pop("score")).first()[0]
+    assert error(train_fm_blocks(rows, layout, rated, 3, reg=0.005), rows) < theirs + 0.1 * spread
+
+
+def test_stored_matrices_do_not_change_answers(fitted):
+    from dataclasses import replace
+
+    from affinity.operators import with_matrices
+
+    rows, _, _, _, _, model = fitted
+    small = with_matrices(model, 2, ("user",))
+    large = with_matrices(model, 9, ("user",))
+    answers = [sorted(map(str, similar_users(m, rows.select("user"), 4).collect()))
+               for m in (replace(model, user_matrix=None), small, large)]
+    assert answers[0] == answers[1] == answers[2] != []
