@@ -52,12 +52,16 @@ def dot(x: Column, y: Column, size: int | None = None) -> Column:
 
     With a known small ``size`` the sum is written out term by term, which stays inside
     whole-stage codegen; a longer sum would outgrow what the JVM compiles, so it is a
-    fold over the zipped arrays.
+    fold over the zipped arrays. A vector of another length than ``size`` is an error.
     """
     if size is not None and size <= UNROLLED:
         terms = [F.get(x, F.lit(i)).cast("double") * F.get(y, F.lit(i)).cast("double")
                  for i in range(size)]
-        return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+        total = reduce(lambda a, b: a + b, terms, F.lit(0.0))
+        other = F.when(F.size(x) == size, F.size(y)).otherwise(F.size(x))
+        wrong = F.raise_error(F.concat(F.lit(f"expected {size}, got "), other.cast("string"), F.lit(" components")))
+        fits = (F.size(x) == size) & (F.size(y) == size)
+        return F.when(x.isNull() | y.isNull(), None).when(fits, total).otherwise(wrong)
     products = F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
 

@@ -13,12 +13,13 @@ from affinity.validation import SINKS, SOURCES, one_of
 
 # The folders of preferences stored by site.
 SITE_FOLDER, SITE_MARK = "by_site", "site-"
+# A missing value in CSV differs from an empty text.
+FORMAT_OPTIONS = {"csv": {"header": "true", "nullValue": "\\N"}, "parquet": {}}
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     one_of("fmt", fmt, SINKS)
-    reader = spark.read.schema(schema)
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+    return spark.read.schema(schema).options(**FORMAT_OPTIONS[fmt]).format(fmt).load(path)
 
 
 def read_preferences(

@@ -81,3 +81,24 @@ def test_several_sites_need_a_choice(spark):
 def test_equal_ratings_count_once_each(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0), (1.0, 1.0)], "score double, prediction double")
     assert rmse(df).first().rmse == pytest.approx((2 / 3) ** 0.5)
+
+
+def test_point_lookups_reach_the_scan(spark, tmp_path):
+    names = spark.createDataFrame([(str(n), n) for n in range(9)], "term string, idx int")
+    factors = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(9)], "id int, features array<float>")
+    MFModel("s", 2, 0.0, names, names, factors, factors).save(str(tmp_path / "m"))
+    model = MFModel.load(spark, str(tmp_path / "m"))
+    one = predict_one(model, "3", 4)
+    assert [tuple(r) for r in one.collect()] == [("s", "3", 4, 13.0)]
+    plan = one._jdf.queryExecution().toString()
+    assert "EqualTo(id,3)" in plan and "EqualTo(id,4)" in plan
+    assert predict_one(model, "99", 4).collect() == []
+
+
+def test_a_wrong_length_is_an_error(spark):
+    from affinity.functions import dot
+
+    pair = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "x array<double>, y array<double>")
+    assert pair.select(dot(F.col("x"), F.col("y"), 2)).first()[0] == 11.0
+    with pytest.raises(Exception, match="2 components"):
+        pair.select(dot(F.col("x"), F.col("y"), 1)).collect()

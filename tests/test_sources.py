@@ -2,10 +2,14 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinity import functions as fn
-from affinity.schemas import EVENT, PREF
-from affinity.sources import read_events, read_points, read_preferences, write_points, write_preferences
+from affinity.schemas import CONTEXT_PREF, EVENT, EVENT_ID, PREF
+from affinity.sources import (
+    read_context_preferences, read_events, read_points, read_preferences, write_context_preferences,
+    write_points, write_preferences,
+)
 from affinity.streaming import track_events
 from tests.conftest import rows
 
@@ -22,9 +26,10 @@ def test_preferences_by_name(spark, tmp_path):
 
 def test_preference_sinks(spark, tmp_path):
     write_preferences(prefs(spark), str(tmp_path / "s"), by_site=True)
-    back = read_preferences(spark, str(tmp_path / "s"))
+    back = read_preferences(spark, str(tmp_path / "s"), by_site=True)
     assert rows(back) == rows(prefs(spark))
-    assert "PartitionFilters: [isnotnull(site" in back.filter("site = 't'")._jdf.queryExecution().toString()
+    plan = back.filter("site = 't'")._jdf.queryExecution().toString()
+    assert "by_site" in plan.split("PartitionFilters: [")[1].split("]")[0]
     write_preferences(prefs(spark), str(tmp_path / "c"), "csv")
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
     with pytest.raises(ValueError):
@@ -33,6 +38,35 @@ def test_preference_sinks(spark, tmp_path):
         write_preferences(prefs(spark).drop("score"), str(tmp_path / "d"))
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("by_site", [True, False])
+def test_sites_keep_their_names(spark, tmp_path, fmt, by_site):
+    sites = ["007", "7", "2024-01-02", "1e3", "true", "", None]
+    sent = spark.createDataFrame([(s, "0", n, n / 7) for n, s in enumerate(sites)], PREF)
+    write_preferences(sent, str(tmp_path / "p"), fmt, by_site=by_site)
+    back = read_preferences(spark, str(tmp_path / "p"), fmt, by_site)
+    assert back.schema == PREF
+    assert sorted(map(str, back.collect())) == sorted(map(str, sent.collect()))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_context_preferences(spark, tmp_path, fmt):
+    sent = spark.createDataFrame(
+        [(1, "01", "u", "5", "view", 0, 9, None, 1.0), (2, "01", "u", "6", "view", 1, 9, "5", 2.0)],
+        T.StructType([EVENT_ID, *CONTEXT_PREF]))
+    write_context_preferences(sent, str(tmp_path / "c"), fmt)
+    back = read_context_preferences(spark, str(tmp_path / "c"), fmt)
+    assert back.schema == sent.schema and sorted(map(str, back.collect())) == sorted(map(str, sent.collect()))
+
+
+def test_a_batch_sent_twice(spark, tmp_path):
+    sent = spark.createDataFrame(
+        [("s", "u", n, "view", dt.datetime(2024, 1, 1 + n % 3), n) for n in range(6)], EVENT)
+    for batch in (sent, sent, sent.limit(0), sent.unionByName(sent)):
+        track_events(batch, str(tmp_path / "e"))
+    assert rows(spark.read.parquet(str(tmp_path / "e")), "event_id") == [(n,) for n in range(6)]
+
+
 @pytest.mark.parametrize("fmt", ["text", "parquet"])
 def test_points(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1.5, [1.0, 0.0]), (2.0, [0.25, 1.0])], "target double, features array<double>")

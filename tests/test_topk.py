@@ -77,3 +77,13 @@ def test_matrix_is_symmetric_and_bounded(spark):
     for (a, b), s in m.items():
         assert a != b and abs(s) <= 1 + 1e-12
         assert m[b, a] == pytest.approx(s, abs=1e-12)
+
+
+def test_broken_vectors_take_no_part(spark):
+    """A NaN or null cell on the right must not cost the left its results."""
+    right = spark.createDataFrame(
+        [(0, [1.0, 0.0]), (1, [float("nan"), 1.0]), (2, [0.0, 1.0]), (3, [None, 1.0]), (4, None)],
+        "id int, features array<double>")
+    left = spark.createDataFrame([(9, [1.0, 2.0]), (8, [None, 2.0])], "id int, features array<double>")
+    got = top_k_scores(left, right, 2).collect()
+    assert sorted((r.id, r.other, r.score) for r in got) == [(9, 0, 1.0), (9, 2, 2.0)]
