@@ -38,7 +38,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Marks a narrow table for broadcast if it is counted at ``max_rows`` or fewer; a larger one
     is left to shuffled joins. ``df`` should be stored, for it is counted here."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def unused(df: DataFrame, name: str) -> str:
