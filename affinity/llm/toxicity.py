@@ -26,6 +26,8 @@ SAMPLE_ROWS = 20_000
 UNITS = 4096
 MIN_TOXIC = 4
 MIN_RATIO = 8.0
+MIN_EVIDENCE = 18.0
+MIN_PRECISION = 0.85
 KINDS = ("word", "begin4", "begin5", "begin6")
 STRENGTHS = 2
 PATTERNS = ("shouting", "marks", "very_short")
@@ -200,9 +202,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counted = texts.join(F.broadcast(known), "doc_id").select("text", "label").mapInArrow(
         _count_units, "kind int, unit bigint, other bigint, toxic bigint")
     ratio = (F.col("toxic") + 0.1) / (F.col("other") + 0.5) * (sizes[0] / sizes[1])
+    # Twice the log likelihood ratio against a unit that has nothing to do with the label: of the very many
+    # rare units, some stand in a few toxic texts by chance.
+    share = sizes[1] / (sizes[0] + sizes[1])
+    seen_in = F.col("toxic") + F.col("other")
+    evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / (seen_in * share)) + F.when(
+        F.col("other") > 0, F.col("other") * F.log(F.col("other") / (seen_in * (1 - share)))).otherwise(0.0))
     lexicon = (
         counted.groupBy("kind", "unit").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
         .filter(F.col("toxic") >= MIN_TOXIC).withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_RATIO)
+        .filter(evidence >= MIN_EVIDENCE)
+        .filter((F.col("toxic") + 0.1) / (seen_in + 0.6) >= MIN_PRECISION)
         .orderBy(F.desc(F.col("toxic") * F.log("ratio")), "kind", "unit").limit(UNITS).toPandas())
     kinds = lexicon["kind"].to_numpy(np.int64)
     strengths = np.zeros(len(lexicon), np.int64)
@@ -231,21 +241,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = found.select("units", "marks").mapInArrow(patterns, "pattern bigint, n bigint").groupBy("pattern").agg(
         F.sum("n").alias("n")).orderBy("pattern").toPandas()
     votes = seen["pattern"].to_numpy()[:, None] >> np.arange(width) & 1
-    prior = sizes[1] / (sizes[0] + sizes[1])
-    model = LabelModel().fit(votes, seen["n"].to_numpy(float), prior, trusted)
-
-    base = len(lexicon)
     sample = found.join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
     if sample.empty:
         return texts.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     mine = voted(sample["units"], sample["marks"])
+    # A voter that is hardly more often right than chance on the labelled sample does not vote.
+    right = (mine * (sample["label"].to_numpy() == 1)[:, None]).sum(axis=0) / np.maximum(mine.sum(axis=0), 1)
+    heard = (right >= 2 * share).astype(np.int64)
+    mine = mine * heard
+    model = LabelModel().fit(votes * heard, seen["n"].to_numpy(float), share, trusted)
+
+    base = len(lexicon)
     rows = [_feature_row(np.asarray(u, np.int64), v, base) for u, v in zip(sample["units"], mine)]
     weights = _logistic(rows, model.posterior(mine), base + width + 4)
 
     def scored(batches):
         for batch in batches:
             units = [np.asarray(u, np.int64) for u in batch.column(1).to_pylist()]
-            votes = voted(units, batch.column(2).to_pylist())
+            votes = voted(units, batch.column(2).to_pylist()) * heard
             margin = [weights[_feature_row(u, v, base)].sum() + weights[-1] for u, v in zip(units, votes)]
             score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
