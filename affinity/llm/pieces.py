@@ -20,8 +20,8 @@ from sentencepiece import sentencepiece_model_pb2
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = "▁"
-_CACHED_CHUNKS = 250_000
-_CACHED_PAIRS = 300_000
+_CACHED_CHUNKS = 120_000
+_CACHED_PAIRS = 150_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
