@@ -147,19 +147,19 @@ def _links_of_blocks(batches):
 def _stray_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between different components that meet in a bucket.
 
-    ``placed`` (band, rep, center, component) holds the buckets. Buckets with several components tie
-    their members into families; all but a family's largest component are its strays. Blocks
+    ``placed`` (band, rep, component) holds the buckets. Buckets with several components tie
+    these into families; all but a family's largest component are its strays. Blocks
     of strays meet blocks of the family, and each task counts shared shingles for a pair of blocks.
     """
     mixed_bands = placed.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+        F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("high")
     ties = written(
-        spread_join(placed, mixed_bands, ["band"])
-        .select("center", "rep", "component").distinct(), "ties")
-    families = components(ties.select(F.col("center").alias("a"), F.col("rep").alias("b")))
+        spread_join(placed, mixed_bands, ["band"]).select("rep", "component", "low").distinct(), "ties")
+    families = components(ties.filter("low < component").select(
+        F.col("low").alias("a"), F.col("component").alias("b")).distinct())
     members = written(
-        families.toDF("rep", "family").join(
-            ties.groupBy("rep").agg(F.any_value("component").alias("component")), "rep"), "members")
+        spread_join(ties.select("rep", "component").distinct(), families.toDF("component", "family"), ["component"]),
+        "members")
     parts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
     largest = parts.groupBy("family").agg(
         F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("size"),
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(_linked(pairs, texts), "links")
     joined = components(links)
     placed = spread_join(members, joined.toDF("rep", "component"), ["rep"], "left").select(
-        "band", "rep", "center", F.coalesce("component", "rep").alias("component"))
+        "band", "rep", F.coalesce("component", "rep").alias("component"))
     more = written(_stray_links(placed, texts), "links")
     if not more.isEmpty():
         joined = components(links.union(more))
