@@ -3,9 +3,11 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 
 from affinity.llm.decontaminate import MASKS, SHARE, contaminated
+from affinity.llm.passages import chains
 from tests.llm import cases
 
 
@@ -28,3 +30,8 @@ def test_contaminated_by_changed_and_by_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in rows if r.item_id != 6} == {(n, n) for n in range(1, 6)} | {(8, 2)}
     assert {r.doc_id for r in rows if r.item_id == 6} == {
         n for n, text in docs if items[6][0] in text.split()}
+
+
+def test_chains_pass_over_long_matches_out_of_reach():
+    frags = np.array([[0, 0, 200], [300, 300, 30], [331, 330, 30]])
+    assert sorted(chains(frags)) == [[0], [1, 2]]
