@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from affinity.llm.decontaminate import MASKS, SHARE, contaminated
-from affinity.llm.passages import chains
+from affinity.llm.passages import MIN_WORDS, chains, repeated_passages
 from tests.llm import cases
 
 
@@ -35,3 +35,24 @@ def test_contaminated_by_changed_and_by_short_items(spark):
 def test_chains_pass_over_long_matches_out_of_reach():
     frags = np.array([[0, 0, 200], [300, 300, 30], [331, 330, 30]])
     assert sorted(chains(frags)) == [[0], [1, 2]]
+
+
+def uncovered(spark, texts):
+    """(doc, at) of words in a row, ``MIN_WORDS`` of them, of an earlier document too, not all in found passages."""
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    covered = {i: bytearray(len(t)) for i, t in texts.items()}
+    for r in repeated_passages(frame).collect():
+        covered[r.doc_id][r.start_word:r.start_word + r.n_words] = b"\1" * r.n_words
+    first = {}
+    return [(i, at) for i in sorted(texts) for at in range(len(texts[i]) - MIN_WORDS + 1)
+            if first.setdefault(tuple(texts[i][at:at + MIN_WORDS]), i) < i and 0 in covered[i][at:at + MIN_WORDS]]
+
+
+def test_repeated_phrases_at_any_offset(spark):
+    texts, last = {}, {}
+    for n, (period, size) in enumerate(itertools.product((1, 3, 5, 10, 16), (50, 56, 75))):
+        phrase = (cases.prose(period, 300 + n) * 80)[:size]
+        for k in range(12):
+            texts[20 * n + k] = cases.prose(40 + 3 * k, 500 + 20 * n + k) + phrase + cases.prose(30, 900 + 20 * n + k)
+            last[20 * n + k] = 40 + 3 * k, 40 + 3 * k + size - MIN_WORDS
+    assert not [(i, at) for i, at in uncovered(spark, texts) if last[i][0] <= at <= last[i][1]]
