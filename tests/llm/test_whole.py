@@ -56,3 +56,17 @@ def test_repeated_phrases_at_any_offset(spark):
             texts[20 * n + k] = cases.prose(40 + 3 * k, 500 + 20 * n + k) + phrase + cases.prose(30, 900 + 20 * n + k)
             last[20 * n + k] = 40 + 3 * k, 40 + 3 * k + size - MIN_WORDS
     assert not [(i, at) for i, at in uncovered(spark, texts) if last[i][0] <= at <= last[i][1]]
+
+
+def test_passages_whose_halves_stand_in_earlier_documents(spark):
+    texts = {}
+    for n in range(12):
+        whole = cases.prose(90, 2000 + n)
+        for k, part in enumerate((whole[:45], whole[45:], whole, whole)):
+            texts[4 * n + k] = cases.prose(40, 3000 + 4 * n + k) + part + cases.prose(40, 4000 + 4 * n + k)
+    for n in range(12):  # parts of all sizes, whole ones in one of them elsewhere
+        whole = cases.prose(60, 5000 + n)
+        cut = 16 + 2 * n
+        for k, part in enumerate((whole[:cut], whole[cut:], whole[:49] + cases.prose(30, 5100 + n) + whole, whole)):
+            texts[100 + 4 * n + k] = cases.prose(70, 6000 + 4 * n + k) + part + cases.prose(40, 7000 + 4 * n + k)
+    assert not uncovered(spark, texts)
