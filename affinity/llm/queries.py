@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 import corpus_pipeline
@@ -12,6 +13,7 @@ from affinity.llm.language import identify
 from affinity.llm.licenses import scan_licenses
 from affinity.llm.lm import score_documents
 from affinity.llm.minhash import near_duplicates
+from affinity.llm.negatives import hard_negatives
 from affinity.llm.passages import repeated_passages
 from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.quality import score_quality
@@ -61,6 +63,12 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op13_packed_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_prefix_forest": op1_prefix_forest,
@@ -73,9 +81,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_trie_lm": op9_trie_lm,
         "op10_chaining": op10_chaining,
+        "op13_packed_rtree": op13_packed_rtree,
         "pipeline": corpus_pipeline.run,
     }
 
 
+#: Products of each anchor with all rows; the list functions keep null components apart.
+_HARD_NEGATIVES = """
+WITH p AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM p a JOIN p b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, g.other AS positive_id, n.other AS negative_id, g.score AS positive_score,
+  n.score AS negative_score, row_number() OVER (
+    PARTITION BY anchor_id, g.other ORDER BY n.score DESC, n.other)::INT AS rank
+FROM positives g JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 50 * g.score <= 100 * n.score AND 100 * n.score <= 95 * g.score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_packed_rtree": _HARD_NEGATIVES}
