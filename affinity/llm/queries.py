@@ -14,6 +14,7 @@ from affinity.llm.licenses import scan_licenses
 from affinity.llm.lm import score_documents
 from affinity.llm.minhash import near_duplicates
 from affinity.llm.negatives import hard_negatives
+from affinity.llm.ngram_join import ngram_join
 from affinity.llm.passages import repeated_passages
 from affinity.llm.pieces import digests, encode_documents
 from affinity.llm.quality import score_quality
@@ -63,6 +64,10 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op12_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents"))
+
+
 def op13_packed_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").withColumn(
         "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_trie_lm": op9_trie_lm,
         "op10_chaining": op10_chaining,
+        "op12_count_rtree": op12_count_rtree,
         "op13_packed_rtree": op13_packed_rtree,
         "pipeline": corpus_pipeline.run,
     }
@@ -109,5 +115,31 @@ QUALIFY rank <= 3
 """
 
 
+def _linked_sql(words: int, percent: int, kept: str) -> str:
+    """Sets of shingles, links, and the smallest id reachable, by joins on equal shingles."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), '{upper}', '{lower}'), '[ \\t\\n\\x0B\\f\\r]+') IF x <> ''] AS words
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(
+    [array_to_string(words[i:i + {words - 1}], ' ') FOR i IN range(1, greatest(len(words) - {words - 2}, 2))]) END AS shingles
+  FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(shingles) AS n_shingles, component_id{kept} FROM s JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_packed_rtree": _HARD_NEGATIVES}
+    return {
+        "op2_minhash": _linked_sql(5, 75, ", doc_id = component_id AS kept"),
+        "op12_count_rtree": _linked_sql(3, 90, ""),
+        "op13_packed_rtree": _HARD_NEGATIVES,
+    }
