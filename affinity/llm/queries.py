@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 import corpus_pipeline
+from affinity.llm.collocations import collocations
 from affinity.llm.decontaminate import contaminated
 from affinity.llm.forest import nearest
 from affinity.llm.language import identify
@@ -64,6 +65,10 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_trie_lm": op9_trie_lm,
         "op10_chaining": op10_chaining,
+        "op11_automata": op11_automata,
         "op12_count_rtree": op12_count_rtree,
         "op13_packed_rtree": op13_packed_rtree,
         "pipeline": corpus_pipeline.run,
@@ -137,9 +143,44 @@ SELECT doc_id, len(shingles) AS n_shingles, component_id{kept} FROM s JOIN c USI
 """
 
 
+_COLLOCATIONS = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS id, [x FOR x IN string_split_regex(piece, '[ \\t]+') IF x <> ''] AS words FROM p),
+t AS (SELECT lang, id, unnest(words) AS w1, unnest(range(len(words))) AS pos FROM w),
+x AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY id ORDER BY pos)),
+f AS (
+  SELECT lang, [w1] AS gram, count(*) AS a FROM x GROUP BY ALL
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM x WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM x WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(gram) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(gram) > 1 AND a >= 10),
+parts AS (
+  SELECT lang, gram, a, k, gram[:k] AS first, gram[k + 1:] AS rest
+  FROM c, (VALUES (1), (2)) AS sizes(k) WHERE k < len(gram)),
+cuts AS (
+  SELECT q.lang, q.gram, q.a, q.k, l.a AS l, r.a AS r,
+    (1000000::HUGEINT * q.a * q.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM parts q JOIN f l ON l.lang = q.lang AND l.gram = q.first JOIN f r ON r.lang = q.lang AND r.gram = q.rest
+  QUALIFY row_number() OVER (PARTITION BY q.lang, q.gram ORDER BY score, q.k) = 1),
+inside AS (
+  SELECT lang, gram[1:2] AS gram, a FROM c WHERE len(gram) = 3
+  UNION ALL SELECT lang, gram[2:3], a FROM c WHERE len(gram) = 3),
+longer AS (SELECT lang, gram, max(a) AS most FROM inside GROUP BY ALL),
+kept AS (
+  SELECT lang, array_to_string(gram, ' ') AS phrase, cuts.a, l, r, score
+  FROM cuts LEFT JOIN longer USING (lang, gram) WHERE most IS NULL OR 100 * most < 50 * cuts.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minhash": _linked_sql(5, 75, ", doc_id = component_id AS kept"),
+        "op11_automata": _COLLOCATIONS,
         "op12_count_rtree": _linked_sql(3, 90, ""),
         "op13_packed_rtree": _HARD_NEGATIVES,
     }
