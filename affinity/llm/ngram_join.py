@@ -31,6 +31,7 @@ GROUPS = 64
 FINE = 64  # groups of one subspace at the root
 LEAF = 16
 BLOCK_SHINGLES = 1 << 16
+BLOCK_POINTS = 4096
 _GROWTH = 1.3
 _SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -85,6 +86,14 @@ def counts(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((mixed(shingles + _SALT) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
 
 
+def _small(point: np.ndarray) -> bytes:
+    return point.astype(np.min_scalar_type(int(point.max(initial=0)))).tobytes()
+
+
+def _point(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // GROUPS}").astype(np.int64)
+
+
 def similar(shared, a, b):
     """Whether sets of sizes ``a`` and ``b`` that share so many, or at most so many, are linked."""
     return 19 * shared >= 9 * (a + b)
@@ -116,8 +125,9 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(f) for f in found], pa.int64()),
              pa.array([_print(f) for f in found], pa.binary()),
+             pa.array([_small(counts(f)) for f in found], pa.binary()),
              pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
-            names=["rep", "size", "print", "shingles"])
+            names=["rep", "size", "print", "point", "shingles"])
 
 
 def _unpacked(cell):
@@ -136,20 +146,20 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class CountTree:
-    """Points of a block of sets in sort-tile-packed leaves, each with its greatest counts and its sizes."""
+    """Points in sort-tile-packed leaves, each with its greatest counts and its sizes."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        points = np.array([counts(s) for s in sets])
+    def __init__(self, points: np.ndarray):
         self.order = leaf_order(points, LEAF)
         self.points = points[self.order]
-        self.sizes = np.array([len(s) for s in sets])[self.order]
-        self.starts = np.arange(0, len(sets), LEAF)
+        self.sizes = self.points.sum(axis=1)
+        self.starts = np.arange(0, len(points), LEAF)
         self.most = np.maximum.reduceat(self.points, self.starts)
         self.small = np.minimum.reduceat(self.sizes, self.starts)
         self.large = np.maximum.reduceat(self.sizes, self.starts)
 
-    def near(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the sets whose counts allow a link."""
+    def near(self, point: np.ndarray) -> np.ndarray:
+        """Numbers of the points whose counts allow a link."""
+        size = point.sum()
         leaves = np.nonzero(
             similar(np.minimum(point, self.most).sum(axis=1), size, self.small) & (10 * self.large >= 9 * size))[0]
         if not len(leaves):
@@ -161,7 +171,7 @@ class CountTree:
 
 def block_links(ids, own, left: list, others, theirs, right: list):
     """Links between sets of different components, no more than join what can be joined."""
-    tree, joined = CountTree(right), {}
+    tree, joined = CountTree(np.array([counts(s) for s in right])), {}
 
     def top(c):
         while c in joined:
@@ -169,7 +179,7 @@ def block_links(ids, own, left: list, others, theirs, right: list):
         return c
 
     for i, found in enumerate(left):
-        for j in tree.near(counts(found), len(found)).tolist():
+        for j in tree.near(counts(found)).tolist():
             a, b = top(int(own[i])), top(int(theirs[j]))
             if a != b and similar(_shared(found, right[j]), len(found), len(right[j])):
                 joined[a] = b
@@ -184,37 +194,78 @@ def _links_of_blocks(batches):
                 [pa.array([p[side] for p in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
 
-def _compared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of different components that share a group.
+def near_members(own, left: np.ndarray, theirs, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which points of both sides have a point of another component near them."""
+    tree = CountTree(right)
+    mine, others = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for i, point in enumerate(left):
+        at = tree.near(point)
+        at = at[theirs[at] != own[i]]
+        mine[i], others[at] = len(at) > 0, True
+    return mine, others
 
-    ``members`` is (group, rep, component, stray). Blocks of a group's strays meet blocks of all its
-    members; blocks are as many as the group's shingles need, so none is large but by one large set.
+
+def _near_of_blocks(batches):
+    for batch in batches:
+        for n in range(batch.num_rows):
+            sides = [batch.column(c)[n].values for c in (1, 2)]
+            points = [np.array([_point(p) for p in s.field("point").to_pylist()]) for s in sides]
+            owners = [s.field("component").to_numpy() for s in sides]
+            marks = near_members(owners[0], points[0], owners[1], points[1])
+            reps = np.unique(np.concatenate([s.field("rep").to_numpy()[m] for s, m in zip(sides, marks)]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column(0)[n].as_py()] * len(reps), pa.int64()), pa.array(reps, pa.int64())],
+                names=["group", "rep"])
+
+
+def _blocks_met(held: DataFrame, weight: str, bound: int, *fields: str) -> DataFrame:
+    """(group, part_rows, block_rows): blocks of a group's strays beside blocks of all its members.
+
+    ``held`` is (group, rep, component, stray, fields). Blocks are as many as the group's weight needs, so none is
+    heavier than ``bound`` by much but for one heavy row.
     """
-    held = written(spread_join(members, sets, ["rep"]).withColumn("size", F.size("shingles")), "held")
+    load = F.expr(weight)
     sums = held.groupBy("group").agg(
-        F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"),
-        F.ceil(F.sum(F.when(F.col("stray"), F.col("size"))) / BLOCK_SHINGLES).cast("int").alias("parts"))
+        F.ceil(F.sum(load) / bound).cast("int").alias("blocks"),
+        F.ceil(F.sum(F.when(F.col("stray"), load)) / bound).cast("int").alias("parts"))
     placed = spread_join(held, written(sums, "blocks"), ["group"])
-    row = F.collect_list(F.struct("rep", "component", "shingles"))
+    row = F.collect_list(F.struct("rep", "component", *fields))
 
     def dealt(rows: DataFrame, mine: str, other: str, names: tuple[str, str]) -> DataFrame:
         place = F.pmod(F.xxhash64("rep"), F.col(mine)).cast("int")
         packs = rows.groupBy("group", place.alias(names[0]), F.col(other).alias("n")).agg(row.alias(f"{names[0]}_rows"))
         return packs.withColumn(names[1], F.explode(F.expr("sequence(0, n - 1)"))).drop("n")
 
-    met = spread_join(
+    return spread_join(
         dealt(placed.filter("stray"), "parts", "blocks", ("part", "block")),
-        dealt(placed, "blocks", "parts", ("block", "part")), ["group", "part", "block"])
-    return met.select("part_rows", "block_rows").mapInArrow(_links_of_blocks, "a bigint, b bigint")
+        dealt(placed, "blocks", "parts", ("block", "part")), ["group", "part", "block"]
+    ).select("group", "part_rows", "block_rows")
+
+
+def _compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between sets of different components among the members (group, rep, component, stray)."""
+    held = written(spread_join(members, sets.select("rep", "size", "shingles"), ["rep"]), "held")
+    return _blocks_met(held, "size", BLOCK_SHINGLES, "shingles").select("part_rows", "block_rows").mapInArrow(
+        _links_of_blocks, "a bigint, b bigint")
 
 
-def _strays(placed: DataFrame) -> DataFrame:
-    """(group, rep, component, stray) of the cells that hold several components; all but the largest are strays."""
-    sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
-    cells_of = sizes.groupBy("group").agg(
-        F.count("*").alias("several"), F.max(F.struct("n", "component"))["component"].alias("main"))
-    return spread_join(placed, cells_of.filter("several > 1").drop("several"), ["group"]).select(
-        "group", "rep", "component", (F.col("component") != F.col("main")).alias("stray"))
+def _strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, rep, component, stray) of what may be linked in cells that hold several components.
+
+    All but a cell's largest component are strays. Of cells with the same members one stays. Their
+    points are compared through the boxes, and members without a point of another component near them go.
+    """
+    parts = placed.groupBy("group", "component").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    mixed_cells = parts.groupBy("group").agg(
+        F.count("*").alias("several"), F.max(F.struct("n", "component"))["component"].alias("main"),
+        F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("several > 1")
+    once = mixed_cells.groupBy("n", "x", "y").agg(F.min(F.struct("group", "main")).alias("c")).select("c.*")
+    strays = written(spread_join(placed, once, ["group"]).select(
+        "group", "rep", "component", (F.col("component") != F.col("main")).alias("stray")), "strays")
+    held = written(spread_join(strays, sets.select("rep", "point"), ["rep"]), "points")
+    near = _blocks_met(held, "1", BLOCK_POINTS, "point").mapInArrow(_near_of_blocks, "group bigint, rep bigint")
+    return spread_join(strays, near.distinct(), ["group", "rep"])
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -247,8 +298,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     reps = written(members.select(F.col("rep").alias("doc_id")).distinct(), "reps")
     sets = written(
         source.join(checked_broadcast(reps), "doc_id", "left_semi")
-        .mapInArrow(_sets, "rep bigint, size bigint, print binary, shingles array<bigint>")
-        .groupBy("rep").agg(F.max(F.struct("size", "print", "shingles"))["shingles"].alias("shingles")), "sets")
+        .mapInArrow(_sets, "rep bigint, size bigint, print binary, point binary, shingles array<bigint>")
+        .groupBy("rep").agg(F.max(F.struct("size", "print", "point", "shingles")).alias("s")).select("rep", "s.*"), "sets")
 
     first = members.filter("center < rep and least(size, other) * 10 >= greatest(size, other) * 9").select(
         F.col("center").alias("group"), "rep").distinct()
@@ -258,7 +309,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     joined = components(links)
     placed = spread_join(members.select("group", "rep"), joined.toDF("rep", "component"), ["rep"], "left").select(
         "group", "rep", F.coalesce("component", "rep").alias("component"))
-    more = written(_compared(written(_strays(placed), "strays"), sets), "links")
+    more = written(_compared(written(_strays(placed, sets), "near"), sets), "links")
     if not more.isEmpty():
         joined = components(links.union(more))
 

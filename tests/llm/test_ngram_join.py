@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from affinity.llm.ngram_join import (
-    STARTS, CountTree, all_cells, block_links, cells, counts, ngram_join, similar, subspaces)
+    STARTS, CountTree, all_cells, block_links, cells, counts, near_members, ngram_join, similar, subspaces)
 from tests.llm import cases
 from tests.llm.test_exact import least_reachable
 
@@ -92,11 +92,16 @@ def test_tree_prunes_and_keeps_links():
     bases = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(20)]
     sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.02], rng.integers(0, 1 << 62, 3).astype(np.uint64)]))
             for b in bases for _ in range(32)]
-    tree = CountTree(sets)
+    points = np.array([counts(s) for s in sets])
+    tree = CountTree(points)
     for i in range(0, len(sets), 50):
-        found = set(tree.near(counts(sets[i]), len(sets[i])).tolist())
+        found = set(tree.near(points[i]).tolist())
         linked = {j for j, s in enumerate(sets) if similar(len(np.intersect1d(sets[i], s)), len(sets[i]), len(s))}
         assert linked <= found and len(found) < 100
     ids, own = np.arange(len(sets)), np.arange(len(sets))
+    family = own // 32
+    family[5] = 99
+    marked = near_members(family[:40], points[:40], family, points)
+    assert np.nonzero(marked[0])[0].tolist() == list(range(32)) and marked[1].tolist() == [n < 32 for n in own]
     links = list(block_links(ids, own, sets, ids, own, sets))
     assert len(set(least_reachable(ids.tolist(), links).values())) == 20 and len(links) == len(sets) - 20
