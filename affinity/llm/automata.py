@@ -22,9 +22,9 @@ DEPTH = 3
 def codes_of(columns: np.ndarray, words: int) -> np.ndarray:
     """Numbers that order rows of word ranks (from 1; 0 for none) as their words do."""
     base = words + 1
-    if base ** DEPTH < 1 << 63:
-        return (columns[:, 0] * base + columns[:, 1]) * base + columns[:, 2]
-    pairs = np.unique(columns[:, 0] * base + columns[:, 1], return_inverse=True)[1]
+    pairs = columns[:, 0].astype(np.int64) * base + columns[:, 1]
+    if base ** DEPTH >= 1 << 63:
+        pairs = np.unique(pairs, return_inverse=True)[1]
     return pairs * base + columns[:, 2]
 
 
@@ -153,9 +153,10 @@ def union(automata: list[CountAutomaton]) -> CountAutomaton:
     """One automaton of all n-grams, their weights summed."""
     lexicon = sorted(set().union(*(a.lexicon for a in automata)))
     held = {w: n + 1 for n, w in enumerate(lexicon)}
-    columns, weights = [np.empty((0, DEPTH), np.int64)], [np.empty(0, np.int64)]
-    for a in automata:
-        rank = np.array([0, *map(held.__getitem__, a.lexicon)], np.int64)
+    columns, weights = [np.empty((0, DEPTH), np.int32)], [np.empty(0, np.int64)]
+    while automata:
+        a = automata.pop()
+        rank = np.array([0, *map(held.__getitem__, a.lexicon)], np.int32)
         c, w = a.paths()
         columns.append(rank[c])
         weights.append(w)
@@ -171,7 +172,9 @@ def summed(lexicon: list[bytes], columns: np.ndarray, weights: np.ndarray) -> Co
     new[1:] = codes[1:] != codes[:-1]
     first = np.nonzero(new)[0]
     total = np.add.reduceat(weights[order], first) if len(first) else weights
-    return CountAutomaton.of_sorted(lexicon, columns[order[first]], total)
+    columns = columns[order[first]]
+    del codes, order, new
+    return CountAutomaton.of_sorted(lexicon, columns, total)
 
 
 def lower_bound(lexicon: list[bytes], codes: np.ndarray, gram: tuple[bytes, ...]) -> int:

@@ -23,9 +23,9 @@ from affinity.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 CHUNK_GRAMS = 1 << 18
-RANGE_GRAMS = 2_000_000
+RANGE_GRAMS = 1_000_000
 _SPREAD = 64
 
 
@@ -57,27 +57,28 @@ def shard_automata(parts: list[np.ndarray], words: list[bytes]):
     rank = np.zeros(len(words), np.int64)
     rank[[u for _, u in names]] = np.arange(1, len(names) + 1)
     lexicon, r = [w for w, _ in names], np.append(rank[ids], [0, 0])
-    one = np.zeros((len(r) - 2, DEPTH), np.int64)
-    one[:, 0] = r[:-2]
-    two, three = one.copy(), one
-    two[:, 1] = three[:, 1] = r[1:-1]
-    three[:, 2] = r[2:]
-    keep = [(r[:-2] > 0) & (r[1:-1] > 0), (r[:-2] > 0) & (r[1:-1] > 0) & (r[2:] > 0)]
-    codes = [codes_of(three[keep[1]], len(lexicon))] if len(lexicon) < (1 << 21) - 1 else None
-    if codes is None:  # a text of more words than numbers can hold
-        singles = np.zeros((int((r > 0).sum()), DEPTH), np.int64)
-        singles[:, 0] = r[r > 0]
-        columns = np.concatenate([singles, two[keep[0]], three[keep[1]]])
-        columns, weights = summed(lexicon, columns, np.ones(len(columns), np.int64)).paths()
-    else:
-        base = len(lexicon) + 1
-        codes += [codes_of(two[keep[0]], len(lexicon)), r[r > 0] * base * base]
-        distinct, weights = np.unique(np.concatenate(codes), return_counts=True)
-        columns = np.stack([distinct // (base * base), distinct // base % base, distinct % base], axis=1)
-    for at in range(0, len(columns), CHUNK_GRAMS):
-        some = columns[at:at + CHUNK_GRAMS]
-        first = [lexicon[c - 1] if c else b"" for c in some[0].tolist()]
-        yield first, len(some), CountAutomaton.of_sorted(lexicon, some, weights[at:at + CHUNK_GRAMS])
+    first, second, third = r[:-2], r[1:-1], r[2:]
+    two = (first > 0) & (second > 0)
+    three = two & (third > 0)
+    base = len(lexicon) + 1
+    if base < 1 << 21:
+        pairs = first[two] * base + second[two]
+        codes = np.concatenate([r[r > 0] * (base * base), pairs * base, pairs[three[two]] * base + third[three]])
+        codes, weights = np.unique(codes, return_counts=True)
+        columns = None
+    else:  # a text of more words than a number can hold
+        columns = np.zeros((int((r > 0).sum() + two.sum() + three.sum()), DEPTH), np.int64)
+        columns[:, 0] = np.concatenate([r[r > 0], first[two], first[three]])
+        columns[len(columns) - int(two.sum() + three.sum()):, 1] = np.concatenate([second[two], second[three]])
+        columns[len(columns) - int(three.sum()):, 2] = third[three]
+        codes, weights = summed(lexicon, columns, np.ones(len(columns), np.int64)).paths()
+        columns = codes
+    for at in range(0, len(codes), CHUNK_GRAMS):
+        some = codes[at:at + CHUNK_GRAMS]
+        if columns is None:
+            some = np.stack([some // (base * base), some // base % base, some % base], axis=1)
+        gram = [lexicon[c - 1] if c else b"" for c in some[0].tolist()]
+        yield gram, len(some), CountAutomaton.of_sorted(lexicon, some, weights[at:at + CHUNK_GRAMS])
 
 
 def _shards(batches):
