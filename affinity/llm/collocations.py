@@ -23,9 +23,10 @@ from affinity.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHARD_TOKENS = 1_000_000
-CHUNK_GRAMS = 1 << 18
-RANGE_GRAMS = 1_000_000
+SHARD_TOKENS = 1 << 19
+CHUNK_GRAMS = 1 << 17
+RANGE_GRAMS = 1 << 19
+_BATCH_BYTES = "8m"  # rows hold whole automata
 _SPREAD = 64
 
 
@@ -112,12 +113,12 @@ def _slicer(bounds: list[tuple]):
     """Pieces of automata by range; ``bounds`` has the first (lang, words) of each range."""
     def cut(batches):
         for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = CountAutomaton.loads(data)
+            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole = CountAutomaton.loads(data.as_buffer())
                 columns, weights = whole.paths()
                 ends = [(lang, *(whole.lexicon[c - 1] if c else b"" for c in columns[n].tolist())) for n in (0, -1)]
                 low, high = _range(bounds, ends[0]), _range(bounds, ends[1])
-                at, pieces = [0, len(columns)], [data]
+                at, pieces = [0, len(columns)], [data.as_py()]
                 if low < high:
                     codes = codes_of(columns, len(whole.lexicon))
                     at[1:1] = [lower_bound(whole.lexicon, codes, b[1:]) for b in bounds[low + 1:high + 1]]
@@ -140,8 +141,8 @@ def _reader(least: int):
     """Phrases of two words or more that occur ``least`` times; words without number stand for all occurrences."""
     def read(batches):
         for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                automaton = CountAutomaton.loads(data)
+            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                automaton = CountAutomaton.loads(data.as_buffer())
                 columns, weights = automaton.paths()
                 kept = (columns[:, 1] > 0) & (weights >= least)
                 words = np.array([b"", *automaton.lexicon], object)
@@ -195,6 +196,7 @@ def phrase_counts(docs: DataFrame, range_grams: int = RANGE_GRAMS) -> tuple[Data
 
     Bounds are ``shard n-grams / range_grams`` in number and go with the tasks; larger executors take larger ranges.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", _BATCH_BYTES)
     source = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
