@@ -27,7 +27,7 @@ from affinity.session import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 3
-GROUPS = 64
+GROUPS = 512
 FINE = 64  # groups of one subspace at the root
 LEAF = 16
 BLOCK_SHINGLES = 1 << 16
