@@ -2,15 +2,11 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinity.session import written
 
-# Quantiles are kept in a 32 x 32 grid: 1024 pieces per hot group at most.
-_GRID = 32
-
-
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which adaptive execution can split a hot key.
 
@@ -24,22 +20,6 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return joined.drop("_place")
 
 
-def _passed(bounds: Column, value: Column) -> Column:
-    return F.size(F.filter(bounds, lambda b: b <= value))
-
-
-def _piece(bounds: Column, value: Column) -> Column:
-    """Index of the quantile interval holding ``value``, by a coarse and a fine step."""
-    coarse = _passed(
-        F.transform(F.sequence(F.lit(1), F.lit(_GRID - 1)), lambda i: F.get(bounds, i * _GRID - 1)),
-        value,
-    )
-    fine = F.when(
-        coarse == 0, _passed(F.slice(bounds, 1, _GRID - 1), value)
-    ).otherwise(_passed(F.slice(bounds, coarse * _GRID + 1, _GRID - 1), value))
-    return coarse * _GRID + fine
-
-
 def hot_groups(df: DataFrame, keys: list[str], rows_per_chunk: int) -> DataFrame:
     """(keys, pieces) of the groups above ``rows_per_chunk`` rows, written once.
 
@@ -49,26 +29,22 @@ def hot_groups(df: DataFrame, keys: list[str], rows_per_chunk: int) -> DataFrame
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_chunk)
-        .select(*keys, F.least(
-            F.ceil(F.col("_n") / rows_per_chunk), F.lit(_GRID * _GRID)).cast("int").alias("_pieces"))
+        .select(*keys, F.ceil(F.col("_n") / rows_per_chunk).cast("int").alias("_pieces"))
     )
     return written(hot, "hot-groups")
 
 
-def split_hot_groups(df: DataFrame, keys: list[str], order: str, hot: DataFrame) -> DataFrame:
-    """Add ``_chunk``: null for ordinary groups, an order-preserving piece number for hot ones."""
-    grid = ", ".join(f"{i / (_GRID * _GRID)}D" for i in range(1, _GRID * _GRID))
-    bounds = written(
-        df.join(hot, keys).groupBy(*keys).agg(
-            F.expr(f"percentile_approx({order}, array({grid}), {16 * _GRID * _GRID})").alias("_bounds"),
-            F.first("_pieces").alias("_pieces")),
-        "hot-bounds")
-    piece = F.floor(
-        _piece(F.col("_bounds"), F.col(order)) * F.col("_pieces") / (_GRID * _GRID)).cast("int")
-    marked = df.join(bounds, keys, "left")
-    return marked.withColumn(
-        "_chunk", F.when(F.col("_pieces").isNotNull(), piece)
-    ).drop("_bounds", "_pieces")
+def hot_chunks(df: DataFrame, keys: list[str], order: list[str], value: str, hot: DataFrame) -> DataFrame:
+    """The rows of hot groups with ``_tie`` and ``_chunk``: one range partition of keys and order each.
+
+    The whole order and a hash of order and value place a row, so rows that share the first order column,
+    or all of them, still spread; only rows equal in the value too stay together. The
+    table is written, which fixes the chunks.
+    """
+    pieces = hot.agg(F.sum("_pieces")).first()[0]
+    placed = df.join(hot.select(*keys), keys, "left_semi").withColumn("_tie", F.xxhash64(value, *order))
+    placed = placed.repartitionByRange(max(2, int(pieces)), *keys, *order, "_tie")
+    return written(placed.withColumn("_chunk", F.spark_partition_id()), "hot-rows")
 
 
 def lag_in_groups(
@@ -77,26 +53,24 @@ def lag_in_groups(
 ) -> DataFrame:
     """``lag(value) over (partition by keys order by order)`` that splits hot groups.
 
-    Without a hot group it is the plain window. A hot group is cut along its order into
+    Ordinary groups take the plain window. A hot group is cut along its whole order into
     pieces of about ``rows_per_chunk`` rows, each windowed by its own task; the first
     row of a piece then takes the last value of the piece before it. That carry table
-    has one row per piece of a hot group, at most twice ``rows / rows_per_chunk``.
-    Rows of one group that share a value of the first order column stay in one piece.
+    has one row per piece of a hot group, about ``rows / rows_per_chunk``.
     """
+    plain = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
     hot = hot_groups(df, keys, rows_per_chunk)
     if hot.isEmpty():
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    chunked = split_hot_groups(df, keys, order[0], hot)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        return df.withColumn(out, plain)
+    cold = df.join(hot.select(*keys), keys, "left_anti").select(*df.columns, plain.alias(out))
+    chunked = hot_chunks(df, keys, order, value, hot)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order, "_tie")
     local = (
         chunked.withColumn(out, F.lag(value).over(w))
         .withColumn("_head", F.row_number().over(w) == 1)
     )
-    tails = (
-        chunked.filter(F.col("_chunk").isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_tail"))
-    )
+    tails = chunked.groupBy(*keys, "_chunk").agg(
+        F.max_by(F.struct(value), F.struct(*order, "_tie")).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy("_chunk")
     carry = tails.select(
         *keys, "_chunk", F.lag("_tail").over(across)[value].alias("_carry")
@@ -105,7 +79,7 @@ def lag_in_groups(
         lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"c.{c}") for c in [*keys, "_chunk"]]
     ) & F.col("l._head")
     joined = local.alias("l").join(carry.alias("c"), same, "left")
-    return joined.select(
+    return cold.unionByName(joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
         F.coalesce(F.col(f"l.{out}"), F.col("c._carry")).alias(out),
-    )
+    ))

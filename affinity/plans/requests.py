@@ -75,6 +75,7 @@ def similar(
     check_algorithm(algorithm)
     if algorithm != "CAR":
         _refuse("similar", algorithm)
+    tune(model.params.sparkSession)
     if users is not None:
         return similar_users(model, users, total)
     if items is not None:

@@ -8,6 +8,7 @@ from affinity.operators import (
     build_context_preferences, build_dictionaries, build_dictionary, build_preferences, decode,
     encode, last_transaction, rated_items, related_item,
 )
+from affinity.operators.skew import hot_chunks, hot_groups, lag_in_groups
 from affinity.schemas import EVENT
 from tests.conftest import rows
 
@@ -55,6 +56,19 @@ def test_related_with_a_hot_user(spark):
         assert key(related_item(df, rows_per_chunk=size)) == key(plain)
 
 
+def test_lag_splits_one_user_with_one_time(spark):
+    """All rows share the first order column: the rest of the order spreads them over tasks."""
+    df = spark.range(3000).selectExpr(
+        "'s' as site", "'u' as user", "cast('2024-01-01' as timestamp) as ts", "(id * 7919) % 3000 as event_id", "id as item")
+    keys, order = ["site", "user"], ["ts", "event_id"]
+    hot = hot_groups(df, keys, 200)
+    chunks = hot_chunks(df, keys, order, "item", hot).groupBy("_chunk").count().collect()
+    assert len(chunks) >= 10 and max(r["count"] for r in chunks) < 600
+    got = {r.event_id: r.related for r in lag_in_groups(df, keys, order, "item", "related", 200).collect()}
+    item = {r.event_id: r.item for r in df.collect()}
+    assert got == {e: item.get(e - 1) for e in item}
+
+
 def test_rated_values(spark):
     prefs = event(spark, [("a", 1, "view", 0), ("a", 2, "view", 1), ("a", 2, "view", 2), ("b", 1, "view", 1)])
     assert rows(rated_items(prefs), "user", "item", "value") == [

@@ -67,6 +67,28 @@ def test_a_batch_sent_twice(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "e")), "event_id") == [(n,) for n in range(6)]
 
 
+def test_an_id_is_stored_once_across_dates_and_runs(spark, tmp_path):
+    def event(n, day):
+        return ("s", "u", n, "view", dt.datetime(2024, 1, day), n)
+
+    path = str(tmp_path / "e")
+    track_events(spark.createDataFrame([event(1, 5), event(1, 3), event(2, 4)], EVENT), path)
+    assert rows(spark.read.parquet(path), "event_id", "date") == [(1, dt.date(2024, 1, 3)), (2, dt.date(2024, 1, 4))]
+    track_events(spark.createDataFrame([event(1, 9), event(2, 9), event(3, 9)], EVENT), path)
+    assert rows(spark.read.parquet(path), "event_id") == [(1,), (2,), (3,)]
+    spark.createDataFrame([event(3, 2), event(4, 2), event(4, 3)], EVENT).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+    for run in ("a", "b"):  # a stream started anew sends all again
+        track_events(stream, path, str(tmp_path / run), "30 days").awaitTermination()
+        assert rows(spark.read.parquet(path), "event_id") == [(1,), (2,), (3,), (4,)]
+    assert sorted(r.event_id for r in spark.read.parquet(f"{path}/_ids").collect()) == [1, 2, 3, 4]
+    # A store without an index gets one; an index that misses a stored event does not store it twice.
+    bare = str(tmp_path / "bare")
+    spark.read.parquet(path).write.partitionBy("date").parquet(bare)
+    track_events(spark.createDataFrame([event(1, 20), event(7, 20)], EVENT), bare)
+    assert rows(spark.read.parquet(bare), "event_id") == [(1,), (2,), (3,), (4,), (7,)]
+
+
 @pytest.mark.parametrize("fmt", ["text", "parquet"])
 def test_points(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1.5, [1.0, 0.0]), (2.0, [0.25, 1.0])], "target double, features array<double>")
