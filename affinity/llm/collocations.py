@@ -7,6 +7,8 @@ are an automaton per range in turn, composed with the counts there. Any prefix c
 group of its own, and an n-gram has one weight for each shard at most.
 """
 
+import contextlib
+import ctypes
 import math
 import sys
 from bisect import bisect_right
@@ -25,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_TOKENS = 1 << 19
 CHUNK_GRAMS = 1 << 17
-RANGE_GRAMS = 1 << 19
+RANGE_GRAMS = 1_000_000
 _BATCH_BYTES = "8m"  # rows hold whole automata
 _SPREAD = 64
 
@@ -43,6 +45,13 @@ def _table() -> bytes:
 _TABLE = _table()
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, which a worker would else hold between its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self)
@@ -102,7 +111,9 @@ def _shards(batches):
             if held >= SHARD_TOKENS:
                 yield from flush()
                 numbers, parts, held = _Numbers({b".": 0}), {}, 0
+                _give_back()
     yield from flush()
+    _give_back()
 
 
 def _range(bounds: list[tuple], gram: tuple) -> int:
@@ -128,13 +139,15 @@ def _slicer(bounds: list[tuple]):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(kept), pa.string()), pa.array([low + n for n in kept], pa.int32()),
                      pa.array([pieces[n] for n in kept], pa.binary())], names=["lang", "range", "automaton"])
+            _give_back()
     return cut
 
 
 def _united(group: pa.Table) -> pa.Table:
-    automata = [CountAutomaton.loads(d) for d in group.column("automaton").to_pylist()]
+    whole = union([CountAutomaton.loads(d.as_buffer()) for d in group.column("automaton")]).dumps()
+    _give_back()
     return pa.table({"lang": group.column("lang").slice(0, 1), "range": group.column("range").slice(0, 1),
-                     "automaton": pa.array([union(automata).dumps()], pa.binary())})
+                     "automaton": pa.array([whole], pa.binary())})
 
 
 def _reader(least: int):
