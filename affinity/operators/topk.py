@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity.functions.arrays import magnitude
+from affinity.operators.skew import spread_join
+from affinity.session import written
 
 # Tasks carry this module's functions with them, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _CHUNK = 1024  # left rows multiplied at once, to bound the score matrix
+_PIVOTS = 256
 
 
 def _unpack(cell: pa.Scalar):
@@ -101,6 +104,122 @@ def unit_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def _nearest_pivot(pivots: np.ndarray):
+    """Adds to (id, features) the number of the nearest pivot and the vector's length."""
+    def place(batches):
+        for batch in batches:
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            far = (pivots * pivots).sum(axis=1)[None, :] - 2 * (vectors @ pivots.T)
+            at, length = np.argmin(far, axis=1), np.sqrt((vectors * vectors).sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(at, pa.int32()), pa.array(length, pa.float64())],
+                names=["id", "features", "pivot", "length"])
+    return place
+
+
+def _placed(df: DataFrame, pivots: np.ndarray, blocks: int, name: str) -> DataFrame:
+    """(block, id, features): about as many rows in each block, near one pivot and of similar length.
+
+    Rows go by pivot, falling length and id to ranges, so a crowded pivot or many copies still make even blocks.
+    """
+    fields = T.StructType([*df.schema, T.StructField("pivot", T.IntegerType()), T.StructField("length", T.DoubleType())])
+    near = df.mapInArrow(_nearest_pivot(pivots), fields)
+    ranged = near.repartitionByRange(blocks, F.col("pivot"), F.desc("length"), F.col("id"))
+    return written(ranged.select(
+        F.concat_ws("/", F.spark_partition_id(), "pivot").alias("block"), "id", "features"), name)
+
+
+def _summaries(batches):
+    """Center, radius, greatest length and number of each block's vectors."""
+    for batch in batches:
+        out = [[], [], [], []]
+        for n in range(batch.num_rows):
+            vectors = _unpack(batch.column(1)[n])[1]
+            center = vectors.mean(axis=0)
+            out[0].append(center)
+            out[1].append(float(np.sqrt(((vectors - center) ** 2).sum(axis=1)).max()))
+            out[2].append(float(np.sqrt((vectors ** 2).sum(axis=1)).max()))
+            out[3].append(len(vectors))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(out[0], pa.list_(pa.float64())), pa.array(out[1], pa.float64()),
+             pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())],
+            names=["block", "center", "radius", "longest", "rows"])
+
+
+def reach(left: np.ndarray, centers: np.ndarray, radii: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """No product of a left row with a vector of a block is greater: by the block's ball, and by its lengths."""
+    length = np.sqrt((left * left).sum(axis=1))[:, None]
+    best = np.minimum(left @ centers.T + length * radii, length * longest)
+    return best + 1e-9 * length * longest  # rounding
+
+
+def _router(k: int, first: bool, schema: pa.Schema):
+    """Which right blocks a left row must meet: of a chunk those whose centers score best, with more than ``k``
+    rows together, then all others that can reach its k-th score."""
+    def route(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                rows = batch.column(0)[n].values
+                left = rows.field("features").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                blocks = batch.column(1)[n].values
+                centers = blocks.field("center").flatten().to_numpy().reshape(len(blocks), -1)
+                most = reach(left, centers, blocks.field("radius").to_numpy(), blocks.field("longest").to_numpy())
+                leading = np.zeros(most.shape, bool)
+                order = np.argsort(-(left @ centers.T), axis=1, kind="stable")
+                size = blocks.field("rows").to_numpy()[order]
+                np.put_along_axis(leading, order, np.cumsum(size, axis=1) - size <= k, axis=1)
+                floor = rows.field("floor").to_numpy(zero_copy_only=False)
+                wanted = leading if first else ~leading & (most >= floor[:, None])
+                names = blocks.field("block")
+                for b in np.nonzero(wanted.any(axis=0))[0].tolist():
+                    some = rows.take(pa.array(np.nonzero(wanted[:, b])[0]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([names[b].as_py()], pa.string()),
+                        pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some).cast(schema.field(1).type)],
+                        schema=schema)
+    return route
+
+
+def _pruned(left: DataFrame, right: DataFrame, k: int, scorer, scored: T.StructType, n_lb: int, n_rb: int) -> DataFrame:
+    """The best ``k`` of each left row, from only the right blocks that can hold one of them.
+
+    Each left row first meets the blocks whose centers score best, which give it a k-th score; a table of these thresholds
+    then says which other blocks it must meet. The rest cannot reach it.
+    """
+    pivots = right.orderBy(F.xxhash64("id"), "id").limit(min(_PIVOTS, 4 * n_rb)).select("features").collect()
+    pivots = np.array([r.features for r in pivots], float)
+    row_type = left.schema["id"].dataType
+    rights = _placed(right, pivots, n_rb, "right").groupBy("block").agg(
+        F.collect_list(F.struct("id", "features")).alias("right_rows"))
+    rights = written(rights, "right-blocks")
+    chunks = max(1, math.ceil(rights.count() / _CHUNK))
+    bounds = written(rights.mapInArrow(
+        _summaries, "block string, center array<double>, radius double, longest double, rows bigint").groupBy(
+        F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "center", "radius", "longest", "rows"))).alias("blocks")), "bounds")
+    lefts = _placed(left, pivots, n_lb, "left")
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    packed = f"block string, left_rows array<struct<id:{row_type.simpleString()},features:array<double>,floor:double>>"
+    arrow = pa.schema([("block", pa.string()), ("left_rows", pa.list_(pa.struct([
+        ("id", _arrow_type(row_type)), ("features", pa.list_(pa.float64())), ("floor", pa.float64())])))])
+
+    def met(rows: DataFrame, first: bool) -> DataFrame:
+        packs = rows.groupBy("block").agg(F.collect_list(F.struct("id", "features", "floor")).alias("left_rows"))
+        packs = packs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        routes = spread_join(packs, bounds, ["chunk"]).select("left_rows", "blocks").mapInArrow(
+            _router(k, first, arrow), packed)
+        pairs = spread_join(written(routes, "routes"), rights, ["block"]).select("left_rows", "right_rows")
+        found = pairs.mapInArrow(scorer, scored)
+        return written(found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank"), "found")
+
+    once = met(lefts.withColumn("floor", F.lit(float("-inf"))), True)
+    floors = once.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") == k)
+    raised = spread_join(lefts, floors.drop("n"), ["id"], "left").select(
+        "block", "id", "features", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
+    both = once.unionByName(met(raised, False))
+    return both.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
+
+
 def top_k_scores(
     left: DataFrame, right: DataFrame, k: int, exclude_self: bool = False,
     block_rows: int = 16384,
@@ -108,41 +227,33 @@ def top_k_scores(
     """(id, other, score): for each left vector the ``k`` right ones of highest product.
 
     Both sides are (id, features), ids unique. Vectors are packed into blocks of at
-    most about ``block_rows``; every left block meets every right block under an equi
-    join on block numbers, one matrix product scores a pair of blocks inside its task,
-    and only ``k`` rows per left vector leave it. Right blocks small enough are
-    broadcast by the planner; otherwise the pairs spread over (right block, slice of
-    left blocks). Ties go to the smaller id. Exact. A null vector, or one with a null or
+    most about ``block_rows``; one matrix product scores a pair of blocks inside its task,
+    and only ``k`` rows per left vector leave it. A single right block is
+    broadcast by the planner if small enough. Several are blocks of near vectors of similar length, and
+    those that cannot hold one of a left vector's best are skipped, by their balls and by their lengths.
+    Vectors are stored once. Ties go to the smaller id. Exact. A null vector, or one with a null or
     non-finite cell, takes no part on either side.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     as_double = F.col("features").cast("array<double>").alias("features")
     whole = "forall(features, x -> x is not null and abs(x) < double('infinity'))"
-    left = left.select("id", as_double).filter(whole)
-    right = right.select("id", as_double).filter(whole)
+    left = written(left.select("id", as_double).filter(whole), "left")
+    right = written(right.select("id", as_double).filter(whole), "right")
     slots = left.sparkSession.sparkContext.defaultParallelism
     n_left, n_right = left.count(), right.count()
     left_rows = min(block_rows, max(128, math.ceil(n_left / (2 * slots))))
     n_lb = max(1, math.ceil(n_left / left_rows))
     n_rb = max(1, math.ceil(n_right / block_rows))
-    slices = math.ceil(n_lb / 16) if n_rb > 1 else 1
-
-    rb = F.sequence(F.lit(0), F.lit(n_rb - 1))
-    sl = F.sequence(F.lit(0), F.lit(slices - 1))
-    lefts = _packed(left, n_lb, "left").select(
-        F.pmod(F.col("left"), F.lit(slices)).alias("slice"), F.explode(rb).alias("right"), "left_rows")
-    rights = _packed(right, n_rb, "right").select("right", F.explode(sl).alias("slice"), "right_rows")
-    pairs = lefts.join(rights, ["right", "slice"]).select("left_rows", "right_rows")
-
     left_type, right_type = left.schema["id"].dataType, right.schema["id"].dataType
     schema = T.StructType([
         T.StructField("id", left_type), T.StructField("other", right_type),
         T.StructField("score", T.DoubleType())])
     arrow = pa.schema([
         ("id", _arrow_type(left_type)), ("other", _arrow_type(right_type)), ("score", pa.float64())])
-    scored = pairs.mapInArrow(_scorer(k, exclude_self, arrow), schema)
-    if n_rb == 1:
-        return scored
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return scored.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
+    scorer = _scorer(k, exclude_self, arrow)
+    if n_rb > 1:
+        return _pruned(left, right, k, scorer, schema, n_lb, n_rb)
+    lefts = _packed(left, n_lb, "left").select("left_rows", F.lit(0).alias("right"))
+    pairs = lefts.join(_packed(right, 1, "right"), "right").select("left_rows", "right_rows")
+    return pairs.mapInArrow(scorer, schema)

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinity.operators import interaction_matrix, top_k_scores
+from affinity.operators import interaction_matrix, top_k_scores, topk
+from affinity.session import written
 
 
 def frame(spark, vectors, kind="int"):
@@ -87,3 +88,38 @@ def test_broken_vectors_take_no_part(spark):
     left = spark.createDataFrame([(9, [1.0, 2.0]), (8, [None, 2.0])], "id int, features array<double>")
     got = top_k_scores(left, right, 2).collect()
     assert sorted((r.id, r.other, r.score) for r in got) == [(9, 0, 1.0), (9, 2, 2.0)]
+
+
+@pytest.mark.parametrize("unit", [True, False])
+def test_blocks_out_of_reach_are_skipped(spark, monkeypatch, unit):
+    """Clusters of directions, or lengths that differ: few of the pairs of row and block are multiplied."""
+    rng = np.random.default_rng(8)
+    if unit:
+        v = np.repeat(rng.normal(size=(16, 12)), 50, axis=0) + 0.05 * rng.normal(size=(800, 12))
+        v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    else:
+        v = rng.normal(size=(800, 12)) * np.exp(-np.arange(800) / 60)[:, None]
+    met, sizes = [], {}
+
+    def kept(df, name, by=None):
+        out = written(df, name, by)
+        if name == "right-blocks":
+            sizes.update((r.block, len(r.right_rows)) for r in out.collect())
+        if name == "routes":
+            met.append(sum(len(r.left_rows) * sizes[r.block] for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(topk, "written", kept)
+    df = frame(spark, v)
+    assert found(top_k_scores(df, df, 5, True, 50)) == expected(v, v, 5, True)
+    assert sum(sizes.values()) == 800 and sum(met) / 800 ** 2 < (0.2 if unit else 0.4)  # products of pairs of rows
+
+
+def test_no_product_exceeds_the_reach():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        block, left = rng.normal(size=(20, 5)) + rng.normal(size=5), rng.normal(size=(9, 5))
+        center = block.mean(axis=0)
+        most = topk.reach(left, center[None], np.sqrt(((block - center) ** 2).sum(axis=1)).max()[None],
+                          np.sqrt((block ** 2).sum(axis=1)).max()[None])
+        assert ((left @ block.T).max(axis=1) <= most[:, 0]).all()
