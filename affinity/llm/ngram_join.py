@@ -249,11 +249,19 @@ def _compared(members: DataFrame, sets: DataFrame) -> DataFrame:
         _links_of_blocks, "a bigint, b bigint")
 
 
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """One of the groups that have the same members (group, rep)."""
+    prints = members.groupBy("group").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    return spread_join(members, prints.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"), ["group"])
+
+
 def _strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """(group, rep, component, stray) of what may be linked in cells that hold several components.
 
     All but a cell's largest component are strays. Of cells with the same members one stays. Their
-    points are compared through the boxes, and members without a point of another component near them go.
+    points are compared through the boxes, and members without a point of another component near them go; of
+    what is left, too, the same members meet once.
     """
     parts = placed.groupBy("group", "component").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
@@ -265,7 +273,7 @@ def _strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
         "group", "rep", "component", (F.col("component") != F.col("main")).alias("stray")), "strays")
     held = written(spread_join(strays, sets.select("rep", "point"), ["rep"]), "points")
     near = _blocks_met(held, "1", BLOCK_POINTS, "point").mapInArrow(_near_of_blocks, "group bigint, rep bigint")
-    return spread_join(strays, near.distinct(), ["group", "rep"])
+    return spread_join(strays, _distinct_groups(written(near.distinct(), "near")), ["group", "rep"])
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
