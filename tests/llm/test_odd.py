@@ -105,8 +105,15 @@ def test_pipeline_stages(spark, tmp_path):
     docs = cases.odd_documents(spark)
     cases.labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
     cases.benchmark(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
-    for frame in (docs, cases.empty_documents(spark)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, frame, str(tmp_path))
-            assert name == "encoding" or out.columns == docs.columns
-            out.collect()
+    ids = sorted(str(r.doc_id) for r in docs.collect())
+    gone = {"near_duplicates": ["2", "7"], "substring_dedup": ["2"], "decontamination": []}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "encoding" or out.columns == docs.columns
+        rows = out.collect()
+        if name in gone:
+            assert sorted([str(r.doc_id) for r in rows] + gone[name]) == ids
+        if name == "encoding":
+            assert sorted(str(r.doc_id) for r in rows) == ids
+            assert {r.n_tokens for r in rows if r.doc_id in (3, 4)} == {0}
+        assert not stage(spark, cases.empty_documents(spark), str(tmp_path)).collect()
