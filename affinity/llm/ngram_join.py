@@ -249,19 +249,28 @@ def _compared(members: DataFrame, sets: DataFrame) -> DataFrame:
         _links_of_blocks, "a bigint, b bigint")
 
 
-def _distinct_groups(members: DataFrame) -> DataFrame:
-    """One of the groups that have the same members (group, rep)."""
-    prints = members.groupBy("group").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    return spread_join(members, prints.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group"), ["group"])
+def _families(near: DataFrame) -> DataFrame:
+    """(group, rep): members near each other in any cell, directly or through others, as one group each."""
+    least = near.groupBy("group").agg(F.min("rep").alias("a"))
+    ties = spread_join(near, least, ["group"]).filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    return components(ties).select(F.col("component").alias("group"), F.col("node").alias("rep"))
+
+
+def _with_strays(members: DataFrame) -> DataFrame:
+    """(group, rep, component, stray): all but a group's largest component are strays; groups of one component go."""
+    sizes = members.groupBy("group", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("group").agg(
+        F.count("*").alias("several"), F.max(F.struct("n", "component"))["component"].alias("main")).filter("several > 1")
+    return spread_join(members, largest, ["group"]).select(
+        "group", "rep", "component", (F.col("component") != F.col("main")).alias("stray"))
 
 
 def _strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """(group, rep, component, stray) of what may be linked in cells that hold several components.
 
     All but a cell's largest component are strays. Of cells with the same members one stays. Their
-    points are compared through the boxes, and members without a point of another component near them go; of
-    what is left, too, the same members meet once.
+    points are compared through the boxes, and members without a point of another component near them go; what
+    is left meets in families, each text in one, so a whole set is carried once.
     """
     parts = placed.groupBy("group", "component").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
@@ -273,7 +282,8 @@ def _strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
         "group", "rep", "component", (F.col("component") != F.col("main")).alias("stray")), "strays")
     held = written(spread_join(strays, sets.select("rep", "point"), ["rep"]), "points")
     near = _blocks_met(held, "1", BLOCK_POINTS, "point").mapInArrow(_near_of_blocks, "group bigint, rep bigint")
-    return spread_join(strays, _distinct_groups(written(near.distinct(), "near")), ["group", "rep"])
+    owners = strays.select("rep", "component").distinct()
+    return _with_strays(spread_join(_families(written(near.distinct(), "near")), owners, ["rep"]))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
