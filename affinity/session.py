@@ -5,6 +5,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Readers decode up to 4,096 rows at once, but none beyond a row group.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the plans rely on: adaptive joins that split a hot key."""
@@ -40,17 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, **options) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The table outlives lost executors, fixes nondeterministic columns once, and
     gives later joins a real size to choose their strategy by. With ``by`` each value
-    of that column has its own folder, so a filter on it reads, and sizes, only that.
+    of that column has its own folder, so a filter on it reads, and sizes, only that. ``options`` go to
+    the writer; ``LARGE_ROWS`` keeps tasks from holding thousands of rows of a megabyte at once.
     An application's tables share one folder, to be removed when it has ended.
     """
     path = scratch_path(df.sparkSession, name)
     if by is None:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     else:
-        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+        df.hint("rebalance", by).write.options(**options).partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
