@@ -20,8 +20,9 @@ from sentencepiece import sentencepiece_model_pb2
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = "▁"
-_CACHED_CHUNKS = 120_000
-_CACHED_PAIRS = 150_000
+_CACHED_WORDS = 80_000
+_CACHED_CHUNKS = 30_000
+_CACHED_PAIRS = 75_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -47,8 +48,26 @@ def kind(sign: str) -> str:
     return "space" if sign == SPACE else "letter" if sign.isalpha() else "other"
 
 
-class PieceEncoder(dict):
-    """Chunk of escaped text -> (its ids as int32 bytes, its decoded text); empties itself when full."""
+class _Recent(dict):
+    """What ``make`` gives for a key. When full it becomes the older of two generations, from which
+    keys still in use come back."""
+
+    def __init__(self, make, bound: int):
+        self.make, self.bound, self.older = make, bound, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.bound:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class PieceEncoder:
+    """Codes texts by chunks that no merge crosses."""
 
     def __init__(self, model: dict):
         self.score = {piece: score for piece, _, score in model["pieces"]}
@@ -63,15 +82,18 @@ class PieceEncoder(dict):
             ends = (piece[:n] for n in range(len(piece) - 1, 0, -1))
             self.shorter[piece] = next((p for p in ends if p in self.ids or len(p) == 1), None)
         self.match.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = _Recent(lambda pair: self.remerged("".join(pair)) == list(pair), _CACHED_PAIRS)
         self.alone: dict[str, bool] = {}
+        self.coded = _Recent(self.of_chunk, _CACHED_CHUNKS)
+        self.words = _Recent(lambda word: self.of_chunks(SPACE + word), _CACHED_WORDS)
         # Merges stop between two signs that no piece holds side by side. The pattern cuts there by
         # kinds of signs, as far as the pieces keep to them.
         side = {(kind(a), kind(b)) for piece in self.ids for a, b in zip(piece, piece[1:])}
         known = {c for piece in self.ids for c in piece} - {SPACE}
         letters = re.escape("".join(sorted(c for c in known if c.isalpha())))
         others = re.escape("".join(sorted(c for c in known if not c.isalpha())))
-        if side & {("letter", "space"), ("other", "space")}:
+        self.apart = not side & {("letter", "space"), ("other", "space")}
+        if not self.apart:
             pattern = "(?s).+"
         elif side & {("letter", "other"), ("other", "letter")}:
             pattern = f"{SPACE}*[{letters}{others}]+|{SPACE}+|[^{SPACE}]"
@@ -98,12 +120,7 @@ class PieceEncoder(dict):
             if known is None:
                 known = self.alone[right] = len(self.remerged(right)) == 1
             return known
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= _CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.remerged(left + right) == [left, right]
-        return known
+        return self.pairs[left, right]
 
     def split(self, chunk: str) -> list[str]:
         """Pieces of a chunk, single signs that are no piece included."""
@@ -136,21 +153,28 @@ class PieceEncoder(dict):
         """Text of ids; the space that the encoder put before the text is not removed here."""
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
 
-    def __missing__(self, chunk: str):
-        if len(self) >= _CACHED_CHUNKS:
-            self.clear()
+    def of_chunk(self, chunk: str) -> tuple[bytes, str]:
+        """Ids of a chunk as int32 bytes, and its decoded text."""
         ids: list[int] = []
         for piece in self.split(chunk):
             known = self.ids.get(piece)
             ids += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
-        value = self[chunk] = np.array(ids, np.int32).tobytes(), self.decode(ids)
-        return value
+        return np.array(ids, np.int32).tobytes(), self.decode(ids)
+
+    def of_chunks(self, escaped: str) -> tuple[bytes, str]:
+        coded = list(map(self.coded.__getitem__, self.chunks(escaped)))
+        return (coded[0] if len(coded) == 1 else
+                (b"".join([ids for ids, _ in coded]), "".join([part for _, part in coded])))
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as int32 bytes, and the text that decoding them gives."""
         if not text:
             return b"", ""
-        coded = list(map(self.__getitem__, self.chunks(SPACE + text.replace(" ", SPACE))))
+        if not self.apart or text[0] == " " or "  " in text or SPACE in text:
+            ids, decoded = self.of_chunks(SPACE + text.replace(" ", SPACE))
+            return ids, decoded[1:]
+        # Each space begins a chunk of its own.
+        coded = list(map(self.words.__getitem__, text.split(" ")))
         return b"".join([ids for ids, _ in coded]), "".join([part for _, part in coded])[1:]
 
 
