@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from affinity.llm.automata import DEPTH, CountAutomaton, codes_of, lower_bound, summed, union
 from affinity.operators.skew import spread_join
-from affinity.session import written
+from affinity.session import LARGE_ROWS, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -214,11 +214,11 @@ def phrase_counts(docs: DataFrame, range_grams: int = RANGE_GRAMS) -> tuple[Data
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     chunks = written(source.mapInArrow(
-        _shards, "lang string, w1 binary, w2 binary, w3 binary, n bigint, automaton binary"), "shards")
+        _shards, "lang string, w1 binary, w2 binary, w3 binary, n bigint, automaton binary"), "shards", **LARGE_ROWS)
     bounds = _bounds(chunks, range_grams)
     pieces = chunks.select("lang", "automaton").mapInArrow(_slicer(bounds), "lang string, range int, automaton binary")
     united = pieces.groupBy("lang", "range").applyInArrow(_united, "lang string, range int, automaton binary")
-    return written(united, "ranges"), bounds
+    return written(united, "ranges", **LARGE_ROWS), bounds
 
 
 def part_counts(parts: DataFrame, counts: DataFrame, bounds: list[tuple]) -> DataFrame:
