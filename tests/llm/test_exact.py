@@ -18,7 +18,7 @@ from affinity.llm import queries as q
 from affinity.llm.licenses import base_sql
 from affinity.llm.minhash import Circulant, near_duplicates, shared_counts
 from affinity.llm.monotone import EliasFano
-from affinity.llm.passages import chains, repeated_passages
+from affinity.llm.passages import chains, Fenwick, repeated_passages
 from affinity.llm.pieces import PieceEncoder, read_model
 from affinity.llm.text import read_table
 from tests.llm import cases
@@ -266,6 +266,36 @@ def test_repeated_passages_with_changes(spark):
     assert all(abs(r.start_word - 100) <= 13 and r.n_words >= 66 for r in found.values())
 
 
+def test_changed_passages_whose_halves_stand_in_earlier_documents(spark):
+    rows = []
+    for n in range(20):
+        passage = cases.prose(90, 1000 + n)
+        parts = (passage[:45], passage[45:], passage, cases.changed(passage, 25))
+        rows += [(4 * n + k, " ".join(cases.prose(80, 2000 + 8 * n + k) + part + cases.prose(80, 3000 + 8 * n + k)))
+                 for k, part in enumerate(parts)]
+    found = collections.Counter()
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.doc_id // 4 == r.other_id // 4
+        if r.doc_id % 4 == 3 and r.start_word <= 85 and r.start_word + r.n_words >= 165:
+            found[r.doc_id] += 1
+    assert len(found) == 20
+
+
+def test_maxima_of_the_fenwick_tree():
+    rng, tree, held = random.Random(3), Fenwick(37), {}
+    for _ in range(3000):
+        rank = rng.randrange(37)
+        if rank in held:
+            del held[rank]
+            tree.drop(rank)
+        else:
+            held[rank] = (rng.random() + 0.1, rank)
+            tree.put(rank, held[rank])
+        low = rng.randrange(38)
+        high = rng.randrange(low, 38)
+        assert tree.between(low, high) == max((v for k, v in held.items() if low <= k < high), default=(0.0, -1))
+
+
 def test_pipeline(spark, sf, docs):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert 0 < len(rows) < len(docs)
