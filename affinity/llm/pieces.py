@@ -20,9 +20,7 @@ from sentencepiece import sentencepiece_model_pb2
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE = "▁"
-_CACHED_WORDS = 80_000
-_CACHED_CHUNKS = 30_000
-_CACHED_PAIRS = 75_000
+CACHED = 60_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -69,7 +67,7 @@ class _Recent(dict):
 class PieceEncoder:
     """Codes texts by chunks that no merge crosses."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, cached: int = CACHED):
         self.score = {piece: score for piece, _, score in model["pieces"]}
         self.ids = {piece: i for piece, i, _ in model["pieces"]}
         self.text = {i: piece.replace(SPACE, " ").encode() for piece, i, _ in model["pieces"]}
@@ -82,18 +80,16 @@ class PieceEncoder:
             ends = (piece[:n] for n in range(len(piece) - 1, 0, -1))
             self.shorter[piece] = next((p for p in ends if p in self.ids or len(p) == 1), None)
         self.match.make_automaton()
-        self.pairs = _Recent(lambda pair: self.remerged("".join(pair)) == list(pair), _CACHED_PAIRS)
+        self.pairs = _Recent(lambda pair: self.remerged("".join(pair)) == list(pair), cached + cached // 4)
         self.alone: dict[str, bool] = {}
-        self.coded = _Recent(self.of_chunk, _CACHED_CHUNKS)
-        self.words = _Recent(lambda word: self.of_chunks(SPACE + word), _CACHED_WORDS)
+        self.coded = _Recent(self.of_chunk, cached)
         # Merges stop between two signs that no piece holds side by side. The pattern cuts there by
         # kinds of signs, as far as the pieces keep to them.
         side = {(kind(a), kind(b)) for piece in self.ids for a, b in zip(piece, piece[1:])}
         known = {c for piece in self.ids for c in piece} - {SPACE}
         letters = re.escape("".join(sorted(c for c in known if c.isalpha())))
         others = re.escape("".join(sorted(c for c in known if not c.isalpha())))
-        self.apart = not side & {("letter", "space"), ("other", "space")}
-        if not self.apart:
+        if side & {("letter", "space"), ("other", "space")}:
             pattern = "(?s).+"
         elif side & {("letter", "other"), ("other", "letter")}:
             pattern = f"{SPACE}*[{letters}{others}]+|{SPACE}+|[^{SPACE}]"
@@ -161,34 +157,26 @@ class PieceEncoder:
             ids += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
         return np.array(ids, np.int32).tobytes(), self.decode(ids)
 
-    def of_chunks(self, escaped: str) -> tuple[bytes, str]:
-        coded = list(map(self.coded.__getitem__, self.chunks(escaped)))
-        return (coded[0] if len(coded) == 1 else
-                (b"".join([ids for ids, _ in coded]), "".join([part for _, part in coded])))
-
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids as int32 bytes, and the text that decoding them gives."""
         if not text:
             return b"", ""
-        if not self.apart or text[0] == " " or "  " in text or SPACE in text:
-            ids, decoded = self.of_chunks(SPACE + text.replace(" ", SPACE))
-            return ids, decoded[1:]
-        # Each space begins a chunk of its own.
-        coded = list(map(self.words.__getitem__, text.split(" ")))
+        coded = list(map(self.coded.__getitem__, self.chunks(SPACE + text.replace(" ", SPACE))))
         return b"".join([ids for ids, _ in coded]), "".join([part for _, part in coded])[1:]
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, cached: int = CACHED) -> DataFrame:
     """(doc_id, ids, decoded): piece ids of each whole text, and the text that they decode to.
 
     Equal to the library's ``encode`` without begin and end ids, and its ``decode``. Null and empty
     texts have no ids and decode to an empty text. Each row is coded alone: repeated and null
-    ids stay, other columns are dropped, an empty table gives no rows.
+    ids stay, other columns are dropped, an empty table gives no rows. A task remembers up to twice ``cached``
+    chunks of text, for speed only.
     """
     model = read_model(model_path)
 
     def coded(batches):
-        encoder = PieceEncoder(model)
+        encoder = PieceEncoder(model, cached)
         for batch in batches:
             rows = [encoder.encode(text) for text in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(ids) // 4 for ids, _ in rows], dtype=np.int32)

@@ -42,7 +42,7 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    return digests(encode_documents(read_table(spark, sf_dir, "documents"), model))
+    return digests(encode_documents(read_table(spark, sf_dir, "documents"), model, cached=150_000))
 
 
 def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
