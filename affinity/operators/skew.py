@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from affinity.session import written
 
+TASK_ROWS = 1 << 16  # of smaller pieces, a task holds several
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which adaptive execution can split a hot key.
 
@@ -34,17 +37,29 @@ def hot_groups(df: DataFrame, keys: list[str], rows_per_chunk: int) -> DataFrame
     return written(hot, "hot-groups")
 
 
-def hot_chunks(df: DataFrame, keys: list[str], order: list[str], value: str, hot: DataFrame) -> DataFrame:
-    """The rows of hot groups with ``_tie`` and ``_chunk``: one range partition of keys and order each.
+def hot_chunks(
+    df: DataFrame, keys: list[str], order: list[str], value: str, hot: DataFrame, rows_per_chunk: int = TASK_ROWS,
+) -> DataFrame:
+    """The rows of hot groups with ``_tie`` and ``_chunk``: pieces of range partitions of keys and order.
 
     The whole order and a hash of order and value place a row, so rows that share the first order column,
-    or all of them, still spread; only rows equal in the value too stay together. The
-    table is written, which fixes the chunks.
+    or all of them, still spread; only rows equal in the value too stay together. Pieces of fewer than
+    ``TASK_ROWS`` rows do not get a partition each: a partition takes about that many rows and is cut along its
+    order, so the number of tasks follows the rows, not the pieces. The table is written, which fixes the chunks.
     """
     pieces = hot.agg(F.sum("_pieces")).first()[0]
+    several = rows_per_chunk < TASK_ROWS
+    parts = -(-int(pieces) * rows_per_chunk // TASK_ROWS) if several else int(pieces)
     placed = df.join(hot.select(*keys), keys, "left_semi").withColumn("_tie", F.xxhash64(value, *order))
-    placed = placed.repartitionByRange(max(2, int(pieces)), *keys, *order, "_tie")
-    return written(placed.withColumn("_chunk", F.spark_partition_id()), "hot-rows")
+    placed = placed.repartitionByRange(max(2, parts), *keys, *order, "_tie")
+    if several:
+        # The id numbers the rows of a partition as they are sorted, below the partition's own number.
+        chunk = F.expr(f"(_row >> 33 << 33) + (_row & {(1 << 33) - 1}) div {rows_per_chunk}")
+        placed = placed.sortWithinPartitions(*keys, *order, "_tie").withColumn(
+            "_row", F.monotonically_increasing_id()).withColumn("_chunk", chunk).drop("_row")
+    else:
+        placed = placed.withColumn("_chunk", F.spark_partition_id())
+    return written(placed, "hot-rows")
 
 
 def lag_in_groups(
@@ -63,7 +78,7 @@ def lag_in_groups(
     if hot.isEmpty():
         return df.withColumn(out, plain)
     cold = df.join(hot.select(*keys), keys, "left_anti").select(*df.columns, plain.alias(out))
-    chunked = hot_chunks(df, keys, order, value, hot)
+    chunked = hot_chunks(df, keys, order, value, hot, rows_per_chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order, "_tie")
     local = (
         chunked.withColumn(out, F.lag(value).over(w))

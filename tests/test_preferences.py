@@ -69,6 +69,24 @@ def test_lag_splits_one_user_with_one_time(spark):
     assert got == {e: item.get(e - 1) for e in item}
 
 
+def test_lag_in_small_pieces_takes_few_tasks(spark):
+    """Pieces of two rows: tasks follow the rows, and every row still gets the one before it."""
+    df = spark.range(3000).selectExpr(
+        "'s' as site", "concat('u', id % 7) as user", "timestamp_seconds(id div 50) as ts", "id as event_id",
+        "if(id % 5 = 0, null, id) as item")
+    keys, order = ["site", "user"], ["ts", "event_id"]
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pieces", "pieces")
+    try:
+        got = {r.event_id: r.related for r in lag_in_groups(df, keys, order, "item", "related", 2).collect()}
+        stages = [s for j in seen.getJobIdsForGroup("pieces") for s in seen.getJobInfo(j).stageIds]
+        assert max(i.numTasks for i in map(seen.getStageInfo, stages) if i) <= 16
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    item = {r.event_id: r.item for r in df.collect()}
+    assert got == {e: item.get(e - 7) for e in item}
+
+
 def test_rated_values(spark):
     prefs = event(spark, [("a", 1, "view", 0), ("a", 2, "view", 1), ("a", 2, "view", 2), ("b", 1, "view", 1)])
     assert rows(rated_items(prefs), "user", "item", "value") == [
