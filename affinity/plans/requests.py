@@ -75,9 +75,9 @@ def similar(
     check_algorithm(algorithm)
     if algorithm != "CAR":
         _refuse("similar", algorithm)
+    if users is None and items is None:
+        raise ValueError("a similar request names users or items")
     tune(model.params.sparkSession)
     if users is not None:
         return similar_users(model, users, total)
-    if items is not None:
-        return similar_items(model, items, total)
-    raise ValueError("a similar request names users or items")
+    return similar_items(model, items, total)
