@@ -43,6 +43,11 @@ def test_width_and_order(case):
     assert points[0][5] == points[0][6] == 0.5
 
 
+def test_cells_are_made_by_all_cores(case, spark):
+    """Few bytes of rows would stay in few tasks, which then make all cells."""
+    assert dense(case).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_forms_agree(case):
     by_dense = sorted(
         (r.row_id, i, v) for r in dense(case).collect() for i, v in enumerate(r.features) if v)

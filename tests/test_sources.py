@@ -155,3 +155,26 @@ def test_stream_equals_batch(spark, tmp_path):
     # A second batch is appended.
     track_events(sent.limit(0), str(tmp_path / "batch"))
     assert spark.read.parquet(str(tmp_path / "batch")).count() == 60
+
+
+def test_wide_points_have_small_row_groups(spark, tmp_path):
+    """Equal cells shrink to nothing on disk, so rows of a group are limited by what they decode to."""
+    import pyarrow.parquet as pq
+
+    width = 1 << 17
+    df = spark.range(0, 100, 1, 1).select(
+        F.col("id").cast("double").alias("target"), F.array_repeat(F.lit(0.5), width).alias("features"))
+    write_points(df, str(tmp_path / "p"), "parquet", width=width)
+    sizes = [
+        pq.ParquetFile(f).metadata.row_group(n).num_rows for f in (tmp_path / "p").glob("*.parquet")
+        for n in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(sizes) == 100 and max(sizes) <= 32
+    got = read_points(spark, str(tmp_path / "p"), "parquet").select("target", F.size("features").alias("n"))
+    assert rows(got) == [(float(n), width) for n in range(100)]
+
+
+def test_compressed_text_points(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, [0.0, 1.0, 0.5]), (2.5, [1.0, 0.0, 0.0])], "target double, features array<double>")
+    write_points(df, str(tmp_path / "p"), "text", compression="gzip")
+    assert list((tmp_path / "p").glob("*.gz"))
+    assert rows(read_points(spark, str(tmp_path / "p"), "text")) == rows(df)
