@@ -1,8 +1,10 @@
+import math
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+import affinity.operators.machine as machine_module
 from affinity.operators import (
     CARModel, assemble_features, block_widths, build_context_preferences, fm_params,
     fm_score_points, predict_context, predict_points, recommend_items_in_context,
@@ -147,3 +149,41 @@ def test_stored_matrices_do_not_change_answers(fitted):
     answers = [sorted(map(str, similar_users(m, rows.select("user"), 4).collect()))
                for m in (replace(model, user_matrix=None), small, large)]
     assert answers[0] == answers[1] == answers[2] != []
+
+
+def _number(values):
+    """SQL's sum: without nulls, and null of nothing else."""
+    values = [v for v in values if v is not None]
+    return sum(values) if values else None
+
+
+@pytest.mark.parametrize("cells", [1 << 18, 4])
+def test_long_scores_of_odd_cells(spark, monkeypatch, cells):
+    """Repeated and null rows, columns and parameters, in one chunk, and in several with rows above a chunk."""
+    monkeypatch.setattr(machine_module, "_CHUNK_CELLS", cells)
+    points = [(r, c, v) for r in (1, 2, 2, None) for c, v in ((0, 1.0), (1, 0.5), (2, None), (7, 1.0), (None, 1.0))]
+    points += [(3, 2, None), (4, 9, 1.0), (5, 1, 2.0), (5, 3, 1.0)]
+    params = [(0, 0.1, [1.0, 2.0]), (0, 0.2, [0.5, None]), (1, None, [3.0, -1.0]), (2, 0.3, [1.0, 1.0]), (3, 0.4, None),
+              (7, 0.5, [0.25, 4.0]), (None, 1.0, [1.0, 1.0])]
+    got = fm_score_points(
+        spark.createDataFrame(points, "row_id long, col int, val double"),
+        spark.createDataFrame(params, "col int, w double, v array<double>"), 0.5, 2)
+    want = {}
+    for row in {r for r, _, _ in points}:
+        met = [(w, v, x) for r, c, x in points for k, w, v in params if r == row and c == k and c is not None]
+        if not met:
+            continue
+        times = lambda *parts: None if None in parts else math.prod(parts)
+        linear = _number([times(w, x) for w, _, x in met])
+        square = _number([times(None if v is None or None in v else sum(a * a for a in v), x, x) for _, v, x in met])
+        sums = [_number([times(v and v[f], x) for _, v, x in met]) for f in range(2)]
+        parts = [linear, square, *sums]
+        want[row] = None if None in parts else 0.5 + linear + (sum(a * a for a in sums) - square) / 2
+    assert {r.row_id: r.prediction and pytest.approx(r.prediction) for r in got.collect()} == want
+
+
+def test_long_scores_move_no_vector_for_each_cell(spark, fitted):
+    rows, layout, rated, points, machine, model = fitted
+    scored = fm_score_points(assemble_features(rows, layout, rated), model.params, model.intercept, 3)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_id" not in plan and "FlatMapCoGroupsInArrow" in plan
