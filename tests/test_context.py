@@ -11,6 +11,7 @@ from affinity.operators import (
     recommend_users_in_context, score_context, similar_items, similar_users, sparse_points, train_fm,
     train_fm_blocks,
 )
+from affinity.operators.machine import block_tables, context_sums, rated_sums
 from affinity.plans import car_pipeline, tables
 from affinity.plans.pipelines import car_features
 from affinity.session import written
@@ -187,3 +188,33 @@ def test_long_scores_move_no_vector_for_each_cell(spark, fitted):
     scored = fm_score_points(assemble_features(rows, layout, rated), model.params, model.intercept, 3)
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(row_id" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("size", [1 << 16, 5])
+def test_context_scores_of_odd_rows(spark, fitted, monkeypatch, size):
+    """Repeated parameters multiply rows, null ones make the score null, unknown terms drop the row."""
+    rows, layout, rated, points, machine, model = fitted
+    monkeypatch.setattr(machine_module, "_CHUNK_ROWS", size)
+    params = model.params.unionByName(model.params.filter("block = 'event' and term = 'view'"))
+    gap = params.withColumn("w", F.expr("IF(block = 'day' AND term = '2', NULL, w)"))
+    gap = gap.filter("not (block = 'item' and term = '3')")
+    some = rows.filter("event_id < 200").drop("score")
+    odd = some.unionByName(some.limit(7)).unionByName(some.limit(3).withColumn("user", F.lit(None).cast("string")))
+    got = score_context(CARModel(model.intercept, 3, written(gap, "gap"), model.rated), odd)
+    tables_ = block_tables(gap)
+    sums = context_sums(tables_, rated_sums(tables_, model.rated, 3), odd)
+    want = sums.selectExpr(*odd.columns, f"{model.intercept}D + _w + (aggregate(_v, 0D, (s, x) -> s + x * x) - _q) / 2 AS score")
+    key = lambda r: [(x is not None, x) for x in r]
+    listed = lambda df: sorted((tuple(r) for r in df.withColumn("score", F.round("score", 6)).collect()), key=key)
+    assert listed(got) == listed(want) and any(r[-1] is None for r in listed(got))
+
+
+def test_context_rows_shuffle_without_vectors(spark, fitted):
+    rows, layout, rated, points, machine, model = fitted
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = score_context(model, rows, "p")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" not in plan.split("Exchange hashpartitioning(chunk")[1].split("Exchange hashpartitioning(of")[0]
