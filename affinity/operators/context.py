@@ -15,7 +15,7 @@ from affinity.validation import check_columns
 
 def interaction_matrix(
     params: DataFrame, block: str, top_n: int, cols: DataFrame | None = None,
-    block_rows: int = 16384,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(col, sim_col, score), the ``top_n`` most similar columns of each column.
 

@@ -17,7 +17,10 @@ from affinity.session import written
 # Tasks carry this module's functions with them, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_CHUNK = 1024  # left rows multiplied at once, to bound the score matrix
+_CHUNK = 1024  # blocks, or left rows, of a chunk
+_SCORES = 1 << 24  # products held at once: fewer left rows for larger right blocks
+# A left vector is copied for each right block it must meet, so blocks grow with the table, to a bound.
+_BLOCK_ROWS, _MOST_ROWS, _BLOCKS = 1 << 14, 1 << 17, 8
 _PIVOTS = 256
 
 
@@ -29,12 +32,14 @@ def _unpack(cell: pa.Scalar):
     return ids, flat.reshape(len(ids), -1)
 
 
-def best_of_block(left_ids, left, right_ids, right, k: int, exclude_self: bool):
+def best_of_block(left_ids, left, right_ids, right, k: int, exclude_self: bool, floor=None):
     """Row numbers and scores of the best ``k`` right rows of each left row, ties by id.
 
     The matrix product only preselects. Candidates within rounding distance of the
     k-th score are summed again in column order, so equal vectors score exactly equal.
+    Where a row's ``floor`` is known, a score its best ``k`` do not fall below, that preselects instead.
     """
+    floor = np.full(len(left_ids), -np.inf) if floor is None else floor
     by_id = np.argsort(right_ids, kind="stable")
     right_ids, right = right_ids[by_id], right[by_id]
     same = np.full(len(left_ids), -1)
@@ -42,17 +47,18 @@ def best_of_block(left_ids, left, right_ids, right, k: int, exclude_self: bool):
         at = np.minimum(np.searchsorted(right_ids, left_ids), len(right_ids) - 1)
         same = np.where(right_ids[at] == left_ids, at, -1)
     reach = np.abs(right).max(initial=0.0) * right.shape[1]
-    for start in range(0, len(left), _CHUNK):
-        part = left[start:start + _CHUNK]
+    step = max(1, min(_CHUNK, _SCORES // max(1, len(right))))
+    for start in range(0, len(left), step):
+        part = left[start:start + step]
         scores = part @ right.T
-        own = same[start:start + _CHUNK]
+        own = same[start:start + step]
         mine = np.nonzero(own >= 0)[0]
         scores[mine, own[mine]] = -np.inf
-        if scores.shape[1] > k:
-            edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            edge = edge - 1e-12 * reach * np.abs(part).max(axis=1, initial=0.0)
-        else:
-            edge = np.full(len(part), -np.inf)
+        edge = floor[start:start + step].copy()
+        free = np.isneginf(edge)
+        if scores.shape[1] > k and free.any():
+            edge[free] = np.partition(scores[free], scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        edge = edge - 1e-12 * reach * np.abs(part).max(axis=1, initial=0.0)
         i, j = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
         exact = np.zeros(len(i))
         for f in range(right.shape[1]):
@@ -71,7 +77,9 @@ def _scorer(k: int, exclude_self: bool, schema: pa.Schema):
             for n in range(batch.num_rows):
                 left_ids, left = _unpack(lefts[n])
                 right_ids, right = _unpack(rights[n])
-                for i, j, s in best_of_block(left_ids, left, right_ids, right, k, exclude_self):
+                known = lefts.type.value_type.get_field_index("floor") >= 0
+                floor = lefts[n].values.field("floor").to_numpy(zero_copy_only=False) if known else None
+                for i, j, s in best_of_block(left_ids, left, right_ids, right, k, exclude_self, floor):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(left_ids[i], type=schema.field(0).type),
                         pa.array(right_ids[j], type=schema.field(1).type),
@@ -198,6 +206,8 @@ def _pruned(left: DataFrame, right: DataFrame, k: int, scorer, scored: T.StructT
         F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("int").alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("block", "center", "radius", "longest", "rows"))).alias("blocks")), "bounds")
     lefts = _placed(left, pivots, n_lb, "left")
+    copies = max(1, math.ceil(4 * left.sparkSession.sparkContext.defaultParallelism / n_rb))
+    copied = rights.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     packed = f"block string, left_rows array<struct<id:{row_type.simpleString()},features:array<double>,floor:double>>"
     arrow = pa.schema([("block", pa.string()), ("left_rows", pa.list_(pa.struct([
@@ -208,7 +218,9 @@ def _pruned(left: DataFrame, right: DataFrame, k: int, scorer, scored: T.StructT
         packs = packs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
         routes = spread_join(packs, bounds, ["chunk"]).select("left_rows", "blocks").mapInArrow(
             _router(k, first, arrow), packed)
-        pairs = spread_join(written(routes, "routes"), rights, ["block"]).select("left_rows", "right_rows")
+        # Few large right blocks still make several tasks for each slot: copies of a block share its left rows.
+        placed = routes.withColumn("copy", F.pmod(F.xxhash64(F.col("left_rows")[0]["id"]), F.lit(copies)).cast("int"))
+        pairs = spread_join(placed, copied, ["block", "copy"]).select("left_rows", "right_rows")
         found = pairs.mapInArrow(scorer, scored)
         return written(found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank"), "found")
 
@@ -222,12 +234,12 @@ def _pruned(left: DataFrame, right: DataFrame, k: int, scorer, scored: T.StructT
 
 def top_k_scores(
     left: DataFrame, right: DataFrame, k: int, exclude_self: bool = False,
-    block_rows: int = 16384,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(id, other, score): for each left vector the ``k`` right ones of highest product.
 
     Both sides are (id, features), ids unique. Vectors are packed into blocks of at
-    most about ``block_rows``; one matrix product scores a pair of blocks inside its task,
+    most about ``block_rows``, by default an eighth of the right ones within bounds; one matrix product scores a pair of blocks inside its task,
     and only ``k`` rows per left vector leave it. A single right block is
     broadcast by the planner if small enough. Several are blocks of near vectors of similar length, and
     those that cannot hold one of a left vector's best are skipped, by their balls and by their lengths.
@@ -242,7 +254,8 @@ def top_k_scores(
     right = written(right.select("id", as_double).filter(whole), "right")
     slots = left.sparkSession.sparkContext.defaultParallelism
     n_left, n_right = left.count(), right.count()
-    left_rows = min(block_rows, max(128, math.ceil(n_left / (2 * slots))))
+    block_rows = block_rows or min(_MOST_ROWS, max(_BLOCK_ROWS, math.ceil(n_right / _BLOCKS)))
+    left_rows = min(block_rows, _BLOCK_ROWS, max(128, math.ceil(n_left / (2 * slots))))
     n_lb = max(1, math.ceil(n_left / left_rows))
     n_rb = max(1, math.ceil(n_right / block_rows))
     left_type, right_type = left.schema["id"].dataType, right.schema["id"].dataType

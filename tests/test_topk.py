@@ -123,3 +123,19 @@ def test_no_product_exceeds_the_reach():
         most = topk.reach(left, center[None], np.sqrt(((block - center) ** 2).sum(axis=1)).max()[None],
                           np.sqrt((block ** 2).sum(axis=1)).max()[None])
         assert ((left @ block.T).max(axis=1) <= most[:, 0]).all()
+
+
+def test_known_floors_preselect(monkeypatch):
+    """A floor that the best do not fall below changes none of them, ties by id included; few products are held at once."""
+    from affinity.operators import topk
+
+    monkeypatch.setattr(topk, "_SCORES", 300)
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(-3, 4, (40, 3)).astype(float), rng.integers(-3, 4, (100, 3)).astype(float)
+    ids = np.arange(40), rng.permutation(100)
+    found = lambda floor: [
+        (int(start), int(ids[1][j]), float(s)) for i, js, ss in topk.best_of_block(ids[0], left, ids[1], right, 4, False, floor)
+        for start, j, s in zip(i, js, ss)]
+    kth = np.sort(left @ right.T, axis=1)[:, -4]
+    kth[::2] = -np.inf
+    assert found(kth) == found(None)
