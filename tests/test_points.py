@@ -118,3 +118,16 @@ def test_array_functions(spark):
     assert tuple(r)[:10] == (
         25.0, 25.0, 5.0, 1.0, None, [0.0, 0.0, 1.0], [0.0] * 3, [0.0] * 2, [0.5, 0.0, 0.5], [1, None, 3])
     assert [tuple(p) for p in r[10]] == [("a", 1)] and r[11] == "1" and r[12] == 2
+
+
+def test_dense_points_are_not_stored(spark, sf, tmp_path):
+    """The points of one user take no table of rows times width."""
+    from pathlib import Path
+
+    from affinity.plans import catalog
+    from affinity.session import shared_dir
+
+    stored = lambda: {p.name for p in Path(shared_dir(spark)).glob("affinity/*/dense-*")}
+    before = stored()
+    catalog.queries()["points_of_user"](spark, sf).collect()
+    assert stored() == before
