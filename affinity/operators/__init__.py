@@ -16,7 +16,7 @@ from affinity.operators.machine import (
 from affinity.operators.points import (
     active_item_columns, active_items, active_user_columns, active_users, assemble_features,
     block_widths, context_subset, dense_points, encode_context, filter_columns, filter_context,
-    points_of_user, rated_items_block, sparse_points,
+    made_once, points_of_user, rated_items_block, sparse_points,
 )
 from affinity.operators.preferences import (
     build_context_preferences, build_preferences, last_transaction, rated_items, related_item,

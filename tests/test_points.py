@@ -131,3 +131,27 @@ def test_dense_points_are_not_stored(spark, sf, tmp_path):
     before = stored()
     catalog.queries()["points_of_user"](spark, sf).collect()
     assert stored() == before
+
+
+@pytest.mark.parametrize("query", ["active_item_columns", "active_user_columns", "rated_items_block"])
+def test_tested_points_are_not_stored(spark, sf, query):
+    """Queries that test several cells make them once a row, without a table of rows times width."""
+    from pathlib import Path
+
+    from affinity.plans import catalog
+    from affinity.session import shared_dir
+
+    stored = lambda: {p.name for p in Path(shared_dir(spark)).glob("affinity/*/dense-*")}
+    before = stored()
+    assert catalog.queries()[query](spark, sf).collect()
+    assert stored() == before
+
+
+def test_cells_are_made_once(case):
+    """The tests stay above the cells, which the plan makes in one place."""
+    from affinity.operators import made_once
+
+    found = active_user_columns(made_once(dense(case)), 4, {8: 1.0}, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate inline") >= 1 and plan.count("concat(") <= 2
+    assert rows(found) == [(1,)]
