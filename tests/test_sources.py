@@ -178,3 +178,12 @@ def test_compressed_text_points(spark, tmp_path):
     write_points(df, str(tmp_path / "p"), "text", compression="gzip")
     assert list((tmp_path / "p").glob("*.gz"))
     assert rows(read_points(spark, str(tmp_path / "p"), "text")) == rows(df)
+
+
+def test_wide_points_decode_to_little_memory():
+    """Readers hold levels and nulls beside the cells and grow by doubling, so a row group is 8 MB of doubles at most."""
+    from affinity.session import wide_rows
+
+    for width in (1, 9335, 1 << 20, 1 << 24):
+        rows_of_group = int(wide_rows(width)["parquet.block.row.count.limit"])
+        assert rows_of_group == 1 or rows_of_group * width * 8 <= 8 << 20
