@@ -141,7 +141,7 @@ class CountAutomaton:
 
     def dumps(self) -> bytes:
         small = [tuple(a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in level) for level in self.levels]
-        return zstandard.compress(pickle.dumps((b" ".join(self.lexicon), small)), 1)
+        return zstandard.compress(pickle.dumps((b" ".join(self.lexicon), small)), 3)
 
     @classmethod
     def loads(cls, data: bytes) -> "CountAutomaton":

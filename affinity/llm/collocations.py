@@ -1,7 +1,7 @@
 """Phrase collocations from weighted acyclic automata of n-gram counts.
 
-Tasks turn shards of the corpus into automata of their n-grams, in chunks of equal numbers, whose first
-n-grams then say where the order of all n-grams is cut into even ranges. The chunks are cut there,
+Tasks turn shards of the corpus into automata of their n-grams, in chunks of equal numbers, and mark n-grams
+at even steps, which then say where the order of all n-grams is cut into even ranges. The chunks are cut there,
 and each range unites its pieces and sums their weights. Candidates are read off the united automata; their parts
 are an automaton per range in turn, composed with the counts there. Any prefix can be cut, so a hot one is no
 group of its own, and an n-gram has one weight for each shard at most.
@@ -27,9 +27,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHARD_TOKENS = 1 << 19
 CHUNK_GRAMS = 1 << 17
-RANGE_GRAMS = 1_000_000
+MARK_GRAMS = 1 << 12
+RANGE_GRAMS = 2_000_000
 _BATCH_BYTES = "8m"  # rows hold whole automata
 _SPREAD = 64
+_MARKS = pa.list_(pa.list_(pa.binary()))
 
 
 def _table() -> bytes:
@@ -59,7 +61,10 @@ class _Numbers(dict):
 
 
 def shard_automata(parts: list[np.ndarray], words: list[bytes]):
-    """Automata of a shard's n-grams, ``CHUNK_GRAMS`` each, with the first n-gram. 0 stands between pieces."""
+    """Automata of a shard's n-grams, ``CHUNK_GRAMS`` each, with marked n-grams. 0 stands between pieces.
+
+    Chunks of all shards begin near the same n-grams, so their first ones alone would leave wide gaps. Marks are the first
+    n-gram and, from a step of the chunk's own, each ``MARK_GRAMS``-th."""
     ids = np.concatenate(parts)
     used = np.unique(ids)
     used = used[used > 0]
@@ -87,8 +92,9 @@ def shard_automata(parts: list[np.ndarray], words: list[bytes]):
         some = codes[at:at + CHUNK_GRAMS]
         if columns is None:
             some = np.stack([some // (base * base), some // base % base, some % base], axis=1)
-        gram = [lexicon[c - 1] if c else b"" for c in some[0].tolist()]
-        yield gram, len(some), CountAutomaton.of_sorted(lexicon, some, weights[at:at + CHUNK_GRAMS])
+        step = 1 + int((some.sum() + weights[at:at + CHUNK_GRAMS].sum()) % MARK_GRAMS)
+        marks = [[lexicon[c - 1] if c else b"" for c in some[n].tolist()] for n in (0, *range(step, len(some), MARK_GRAMS))]
+        yield marks, len(some), CountAutomaton.of_sorted(lexicon, some, weights[at:at + CHUNK_GRAMS])
 
 
 def _shards(batches):
@@ -97,10 +103,10 @@ def _shards(batches):
     def flush():
         words = list(numbers)
         for lang, ids in parts.items():
-            for first, n, automaton in shard_automata(ids, words):
+            for marks, n, automaton in shard_automata(ids, words):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), *(pa.array([w], pa.binary()) for w in first), pa.array([n], pa.int64()),
-                     pa.array([automaton.dumps()], pa.binary())], names=["lang", "w1", "w2", "w3", "n", "automaton"])
+                    [pa.array([lang]), pa.array([marks], _MARKS), pa.array([n], pa.int64()),
+                     pa.array([automaton.dumps()], pa.binary())], names=["lang", "marks", "n", "automaton"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -195,11 +201,13 @@ def _answered(asked: pa.Table, counts: pa.Table) -> pa.Table:
 
 
 def _bounds(chunks: DataFrame, range_grams: int) -> list[tuple]:
-    """First n-grams of even ranges, at most one for each ``range_grams`` n-grams of the shards."""
+    """First n-grams of ranges with equal numbers of marks, at most one for each ``range_grams`` n-grams of the shards."""
     total = chunks.agg(F.sum("n")).first()[0] or 0
     key = ["lang", "w1", "w2", "w3"]
     n = max(1, math.ceil(total / range_grams))
-    first = chunks.select(*key).repartitionByRange(n, *key).groupBy(F.spark_partition_id()).agg(
+    marks = chunks.select("lang", F.explode("marks").alias("mark")).select(
+        "lang", *[F.get("mark", F.lit(i)).alias(w) for i, w in enumerate(key[1:])])
+    first = marks.repartitionByRange(n, *key).groupBy(F.spark_partition_id()).agg(
         F.min(F.struct(*key)).alias("k")).select("k.*").collect()
     return sorted((r.lang, *(bytes(r[w]) for w in key[1:])) for r in first)
 
@@ -214,7 +222,7 @@ def phrase_counts(docs: DataFrame, range_grams: int = RANGE_GRAMS) -> tuple[Data
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     chunks = written(source.mapInArrow(
-        _shards, "lang string, w1 binary, w2 binary, w3 binary, n bigint, automaton binary"), "shards", **LARGE_ROWS)
+        _shards, "lang string, marks array<array<binary>>, n bigint, automaton binary"), "shards", **LARGE_ROWS)
     bounds = _bounds(chunks, range_grams)
     pieces = chunks.select("lang", "automaton").mapInArrow(_slicer(bounds), "lang string, range int, automaton binary")
     united = pieces.groupBy("lang", "range").applyInArrow(_united, "lang string, range int, automaton binary")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from affinity.llm.automata import CountAutomaton, codes_of, lower_bound, summed, union
-from affinity.llm.collocations import collocations
+from affinity.llm import collocations as module
+from affinity.llm.collocations import collocations, phrase_counts
 from tests.llm import cases
 
 
@@ -111,3 +112,14 @@ def test_equal_ends_are_stored_once():
     automaton = CountAutomaton.of_sorted(lexicon, columns, np.full(len(columns), 7))
     assert [len(level[1]) for level in automaton.levels] == [100, 2, 3]
     assert len(as_counts(automaton)) == 600
+
+
+def test_ranges_are_even_where_shards_are_alike(spark, monkeypatch):
+    """Shards of one language begin their chunks at the same n-grams; ranges are cut between those too."""
+    monkeypatch.setattr(module, "MARK_GRAMS", 64)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400):03d}" for _ in range(3000)) for _ in range(8)]
+    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(8)
+    counts, bounds = phrase_counts(df, range_grams=6000)
+    sizes = [len(CountAutomaton.loads(bytes(r.automaton)).paths()[1]) for r in counts.collect()]
+    assert len(bounds) > 6 and max(sizes) <= 2 * 6000
