@@ -102,3 +102,18 @@ def test_no_cross_joins(spark, sf):
     asked = rows.select(F.col("user").alias("request_id"), "site", "user", "event").distinct()
     text = plan(active_items(rows, asked), run=False)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_block_trainer_stores_rows_seldom(spark, sf):
+    """Small blocks' changes meet the rows in later passes, so an iteration stores the rows twice, not once a block."""
+    from pathlib import Path
+
+    from affinity.operators import train_fm_blocks
+    from affinity.plans.catalog import _context_rows
+    from affinity.session import shared_dir
+
+    stored = lambda: {p.name for p in Path(shared_dir(spark)).glob("affinity/*/fm-rows-*")}
+    rows, layout, rated = _context_rows(spark, sf)
+    before = stored()
+    train_fm_blocks(rows, layout, written(rated, "rated"), iterations=1)
+    assert 1 <= len(stored() - before) <= 3
