@@ -281,6 +281,24 @@ def test_changed_passages_whose_halves_stand_in_earlier_documents(spark):
     assert len(found) == 20
 
 
+def test_changed_passages_whose_whole_copy_is_in_the_middle(spark):
+    """The first and the last earlier holders of all seeds hold parts only, and no 50 words in a row are equal."""
+    rows = []
+    for n in range(6):
+        passage = cases.prose(90, 1500 + n)
+        front, back = passage[:45], passage[45:]
+        parts = (front, back, passage, front, back, cases.changed(passage, 25))
+        rows += [(6 * n + k, " ".join(cases.prose(80, 12000 + 8 * n + k) + part + cases.prose(80, 13000 + 8 * n + k)))
+                 for k, part in enumerate(parts)]
+    found = set()
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.doc_id // 6 == r.other_id // 6
+        if r.doc_id % 6 == 5 and r.start_word <= 85 and r.start_word + r.n_words >= 165:
+            assert r.other_id % 6 == 2
+            found.add(r.doc_id)
+    assert len(found) == 6
+
+
 def test_maxima_of_the_fenwick_tree():
     rng, tree, held = random.Random(3), Fenwick(37), {}
     for _ in range(3000):
