@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from public_tokenizers import path
@@ -18,9 +19,9 @@ from affinity.llm import queries as q
 from affinity.llm.licenses import base_sql
 from affinity.llm.minhash import Circulant, near_duplicates, shared_counts
 from affinity.llm.monotone import EliasFano
-from affinity.llm.passages import chains, Fenwick, repeated_passages
+from affinity.llm.passages import chains, Fenwick, repeated_passages, seed_places, sketch
 from affinity.llm.pieces import PieceEncoder, read_model
-from affinity.llm.text import read_table
+from affinity.llm.text import WordHashes, hashes_of, read_table, words_of
 from tests.llm import cases
 
 MODEL = path("piece_bpe_32k.model")
@@ -299,6 +300,17 @@ def test_changed_passages_whose_whole_copy_is_in_the_middle(spark):
     assert len(found) == 6
 
 
+def test_sketches_of_many_texts_are_those_of_each():
+    rng = random.Random(8)
+    texts = [b"", b" \t", b" A b  c\x0b\r\n", b"x " * 90, b"a B a b " * 40, b"\xff\xfe q " * 30] + [
+        b" ".join(b"w%d" % rng.randrange(size) for _ in range(n)) for n in range(40) for size in (2, 9, 1000)]
+    words, sizes = hashes_of(pa.array(texts, pa.binary()))
+    each = [WordHashes().of(words_of(t)) for t in texts]
+    assert sizes.tolist() == [len(h) for h in each] and words.tolist() == [int(x) for h in each for x in h]
+    got = list(zip(*(x.tolist() for x in sketch(words, sizes))))
+    assert got == [(n, *s) for n, h in enumerate(each) for s in zip(*(x.tolist() for x in seed_places(h)))]
+
+
 def test_maxima_of_the_fenwick_tree():
     rng, tree, held = random.Random(3), Fenwick(37), {}
     for _ in range(3000):
