@@ -1,5 +1,7 @@
 """What the plans must keep doing when one key holds a third of the rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,19 @@ def test_block_trainer_stores_rows_seldom(spark, sf):
     before = stored()
     train_fm_blocks(rows, layout, written(rated, "rated"), iterations=1)
     assert 1 <= len(stored() - before) <= 3
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(n).getName() for n in range(held.size()) if held.apply(n).getName().startswith("shuffle_")}
+
+    before = files()
+    out = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "counts")
+    for _ in range(50):  # they go a moment after the write
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert {r.k: r.n for r in out.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
