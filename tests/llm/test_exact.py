@@ -300,6 +300,22 @@ def test_changed_passages_whose_whole_copy_is_in_the_middle(spark):
     assert len(found) == 6
 
 
+def test_open_words_in_slices(spark, monkeypatch):
+    """A line too short for a passage is open in all its documents; slices of the open places change no row."""
+    line, rows = cases.prose(44, 1700), []
+    for n in range(12):
+        passage = cases.prose(90, 1800 + n // 6)
+        part = (passage[:45], passage[45:], passage, passage[:45], passage[45:], cases.changed(passage, 25))[n % 6]
+        rows.append((n, " ".join(cases.prose(80, 14000 + n) + part + cases.prose(80, 15000 + n) + line + cases.prose(60, 16000 + n))))
+    frame = spark.createDataFrame(rows + rows[3:5], "doc_id long, text string")
+    whole = sorted(map(tuple, repeated_passages(frame).collect()))
+    assert {(r[0], r[1]) for r in whole} >= {(5, 2), (11, 8)}
+    monkeypatch.setattr("affinity.llm.passages.OPEN_AT_ONCE", 5)
+    monkeypatch.setattr("affinity.llm.passages.MET_AT_ONCE", 20)
+    monkeypatch.setattr("affinity.llm.passages.GAP_BLOCKS", 0)
+    assert sorted(map(tuple, repeated_passages(frame).collect())) == whole
+
+
 def test_sketches_of_many_texts_are_those_of_each():
     rng = random.Random(8)
     texts = [b"", b" \t", b" A b  c\x0b\r\n", b"x " * 90, b"a B a b " * 40, b"\xff\xfe q " * 30] + [
