@@ -155,3 +155,15 @@ def test_cells_are_made_once(case):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate inline") >= 1 and plan.count("concat(") <= 2
     assert rows(found) == [(1,)]
+
+
+def test_cells_are_one_allocation(case, spark):
+    """Dense cells are not concatenated one by one, repeated rated columns are one cell, and nothing before a block is copied."""
+    prefs, layout, rated = case
+    twice = dense_points(prefs, layout, rated.unionByName(rated))
+    plan = twice._jdf.queryExecution().executedPlan().toString()
+    assert "array_repeat" not in plan and "vector" in plan.lower()
+    assert rows(twice) == rows(dense(case))
+    x = spark.createDataFrame([([0.0, 1.0, 1.0],), ([0.0, 0.0, 1.0],), ([0.5, 0.0, 0.0],), (None,)], "x array<double>")
+    assert [r[0] for r in x.select(fn.one_hot_position(F.col("x"), 0, 2)).collect()] == [1, None, None, None]
+    assert "slice" not in x.select(fn.one_hot_position(F.col("x"), 0, 2))._jdf.queryExecution().executedPlan().toString()
